@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, topk
-from colloquy.llm._shared import table
+from colloquy.llm import chat, langid, quality, topk
+from colloquy.llm._shared import remainder, table
+
+
+def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder(F.col("doc_id"), 4)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    scored = quality.score(docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +30,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(own)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return langid.predict(docs, langid.fit(docs, ~held_out), keep={"held_out": held_out})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rank": op3_quality_rank,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES: dict[str, str] = {
