@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, langid, quality, topk
+from colloquy.llm import chat, langid, quality, simhash, topk
 from colloquy.llm._shared import remainder, table
 
 
@@ -30,6 +30,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(own)))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rank": op3_quality_rank,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_language_id": op8_language_id,
 }
 
