@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, langid, quality, simhash, topk
+from colloquy.llm import bpe, chat, langid, quality, simhash, topk
 from colloquy.llm._shared import remainder, table
 
 
@@ -40,12 +40,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out), keep={"held_out": held_out})
 
 
+def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rank": op3_quality_rank,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_language_id": op8_language_id,
+    "op10_bpe_words": op10_bpe_words,
 }
 
 ORACLES: dict[str, str] = {
