@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, langid, quality, simhash, topk
+from colloquy.llm import bpe, chat, classlm, langid, quality, simhash, topk
 from colloquy.llm._shared import remainder, table
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 5) != 1)
+
+
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = remainder(F.col("doc_id"), 4)
@@ -45,6 +49,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_class_lm": op2_class_lm,
     "op3_quality_rank": op3_quality_rank,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
