@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, classlm, langid, quality, simhash, topk
+from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, quality, simhash, topk
 from colloquy.llm._shared import remainder, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 5) != 1)
 
@@ -44,21 +49,44 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out), keep={"held_out": held_out})
 
 
+def op9_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_class_lm": op2_class_lm,
     "op3_quality_rank": op3_quality_rank,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_language_id": op8_language_id,
+    "op9_bm25_decontam": op9_bm25_decontam,
     "op10_bpe_words": op10_bpe_words,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH e AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+            FROM documents
+        ), w AS (
+            SELECT doc_id, place, line, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS next_line FROM e
+        ), k AS (
+            SELECT doc_id, place, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, place) AS nth
+            FROM w WHERE next_line IS NOT NULL
+        ), gone AS (
+            SELECT doc_id, place FROM k WHERE nth > 1 UNION SELECT doc_id, place + 1 FROM k WHERE nth > 1
+        )
+        SELECT e.doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
+               sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.place) FILTER (gone.place IS NULL), '')) AS kept_sha256
+        FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.place = gone.place
+        GROUP BY e.doc_id
+    """,
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
