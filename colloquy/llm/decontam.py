@@ -12,6 +12,7 @@ that the passage holds.
 from __future__ import annotations
 
 import string
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -68,42 +69,51 @@ class Index:
             self.impacts.append(own)
             self.shingles.append(have)
             self.parts.append([shingles(terms(p), width) for p in question_and_answer(text)])
+        self.own_terms = [list(c) for c in counts]
         self.longest = max((len(w) for _, w, _ in self.items), default=0)
         v, self.n_blocks = len(self.term), -(-len(counts) // _BLOCK)
         self.block_least = np.array([self.least[i : i + _BLOCK].min() for i in range(0, len(counts), _BLOCK)])
-        postings: dict[int, dict[int, float]] = defaultdict(dict)
+        postings: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for item, own in enumerate(self.impacts):
             for t, x in own.items():
-                postings[t][item // _BLOCK] = max(postings[t].get(item // _BLOCK, 0.0), x)
-        self.common = np.zeros(v)
-        rows: list[list[tuple[int, float]]] = []
-        for t in range(v):
-            if len(postings[t]) > max(4, self.n_blocks // 2):
-                self.common[t] = max(postings[t].values())
-                rows.append([])
-            else:
-                rows.append(sorted(postings[t].items()))
+                postings[t].setdefault(item // _BLOCK, np.zeros(_BLOCK))[item % _BLOCK] = x
+        rows = [sorted(postings[t].items()) for t in range(v)]
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.post_block = np.array([b for r in rows for b, _ in r], np.int64)
-        self.post_max = np.array([x for r in rows for _, x in r], np.float64)
+        self.post_items = np.array([x for r in rows for _, x in r]).reshape(-1, _BLOCK)
+        self.post_max = self.post_items.max(1, initial=0)
+        self.is_common = self.sizes > max(4, self.n_blocks // 2)
+        self.common = np.array([self.post_max[s : s + n].max(initial=0) if c else 0.0 for s, n, c in zip(self.starts, self.sizes, self.is_common, strict=True)])
 
-    def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Rows (passage, block) whose bound reaches the block's least threshold; (passage, term) are distinct pairs."""
-        base = np.bincount(passage, weights=self.common[term], minlength=n)
+    def _postings(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage * n_blocks + block, posting) of all blocks that hold a term of a passage."""
         size = self.sizes[term]
-        total = int(size.sum())
-        at = np.repeat(self.starts[term] - (np.cumsum(size) - size), size) + np.arange(total)
-        where = np.repeat(passage, size) * self.n_blocks + self.post_block[at]
-        if n * self.n_blocks <= 1 << 23:
-            bound = np.bincount(where, weights=self.post_max[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
-            return np.argwhere(bound + base[:, None] >= self.block_least)
-        keys, inverse = np.unique(where, return_inverse=True)
-        bound = np.bincount(inverse, weights=self.post_max[at]) + base[keys // self.n_blocks]
-        rows = np.stack([keys // self.n_blocks, keys % self.n_blocks], 1)[bound >= self.block_least[keys % self.n_blocks]]
-        # blocks that a passage reaches with common terms alone
-        alone = np.argwhere(base[:, None] >= self.block_least) if len(self.block_least) and base.max(initial=0) >= self.block_least.min() else rows[:0]
-        return np.unique(np.concatenate([rows, alone]), axis=0)
+        at = np.repeat(self.starts[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(passage, size) * self.n_blocks + self.post_block[at], at
+
+    def retrieved(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Rows (passage, item) whose score reaches the item's threshold; (passage, term) are distinct pairs of n passages."""
+        rare = ~self.is_common[term]
+        base = np.bincount(passage, weights=self.common[term], minlength=n)
+        where, at = self._postings(passage[rare], term[rare])
+        blocks, inverse = np.unique(where, return_inverse=True)
+        bound = np.bincount(inverse, weights=self.post_max[at], minlength=len(blocks)) + base[blocks // self.n_blocks]
+        # passages whose common terms could do alone reach blocks that no rare term names
+        alone = np.flatnonzero(base >= self.block_least.min()) if base.max(initial=0) >= self.block_least.min() else []
+        more = [p * self.n_blocks + np.flatnonzero(base[p] >= self.block_least) for p in alone]
+        open_blocks = np.unique(np.concatenate([blocks[bound + 1e-9 >= self.block_least[blocks % self.n_blocks]], *more]))
+        if not len(open_blocks):
+            return np.empty((0, 2), np.int64)
+        where, at = self._postings(passage, term)
+        slot = np.searchsorted(open_blocks, where)
+        kept = open_blocks[np.minimum(slot, len(open_blocks) - 1)] == where
+        slot, at = slot[kept], at[kept]
+        score = np.stack([np.bincount(slot, weights=self.post_items[at, j], minlength=len(open_blocks)) for j in range(_BLOCK)], 1)
+        item = (open_blocks % self.n_blocks)[:, None] * _BLOCK + np.arange(_BLOCK)
+        ok = item < len(self.items)
+        ok[ok] = score[ok] + 1e-9 >= self.least[item[ok]]
+        return np.stack([np.broadcast_to((open_blocks // self.n_blocks)[:, None], item.shape)[ok], item[ok]], 1)
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items that it holds, each with its best passage."""
@@ -119,9 +129,11 @@ class Index:
             if not pairs:
                 return
             keys = np.concatenate(pairs)
-            for p, block in self.candidates(keys // len(self.term), keys % len(self.term), n):
-                doc, start, words = next((d, (p - f) * step, w) for d, f, w in reversed(batch) if f <= p)
-                self._verify(words[start : start + 2 * step], int(block), found[doc])
+            firsts = [f for _, f, _ in batch]
+            for p, item in self.retrieved(keys // len(self.term), keys % len(self.term), n).tolist():
+                doc, first, words = batch[bisect_right(firsts, p) - 1]
+                start = (p - first) * step
+                self._verify(words[start : start + 2 * step], item, found[doc])
 
         for doc, text in enumerate(texts):
             words = terms(text)
@@ -138,35 +150,26 @@ class Index:
             pairs.append(np.unique((passage[ok] + first) * len(self.term) + np.concatenate([own, own])[ok]))
             batch.append((doc, first, words))
             n += count
-            if n * self.n_blocks > 1 << 17 or n > 4096:
+            if n > 2048:
                 flush()
                 batch, pairs, n = [], [], 0
         flush()
         return [sorted(f.values(), key=lambda m: m["item_id"]) for f in found]
 
-    def _verify(self, words: list[bytes], block: int, found: dict[int, dict]) -> None:
-        have = {self.term[w] for w in words if w in self.term}
-        held: set[bytes] | None = None
-        for item in range(block * _BLOCK, min((block + 1) * _BLOCK, len(self.items))):
-            own = self.impacts[item]
-            score = sum(x for t, x in own.items() if t in have)
-            if score < self.least[item]:
-                continue
-            if held is None:
-                held = shingles(words, self.width)
-            joined = held if len(self.items[item][1]) >= self.width else None
-            share = [_held(s, held, joined, words) for s in (self.shingles[item], *self.parts[item])]
-            if share[0] >= self.similarity - 1e-9 and (item not in found or (share[0], score) > (found[item]["overlap"], found[item]["score"])):
-                found[item] = {"item_id": self.items[item][0], "score": score, "overlap": share[0], "question_overlap": share[1], "answer_overlap": share[2]}
+    def _verify(self, words: list[bytes], item: int, found: dict[int, dict]) -> None:
+        held, have = shingles(words, self.width), set(words)
+        score = sum(x for t, x in zip(self.own_terms[item], self.impacts[item].values(), strict=True) if t in have)
+        share = [_held(s, held, words, self.width) for s in (self.shingles[item], *self.parts[item])]
+        if share[0] >= self.similarity - 1e-9 and (item not in found or (share[0], score) > (found[item]["overlap"], found[item]["score"])):
+            found[item] = {"item_id": self.items[item][0], "score": score, "overlap": share[0], "question_overlap": share[1], "answer_overlap": share[2]}
 
 
-def _held(part: set[bytes], held: set[bytes], joined: set[bytes] | None, words: list[bytes]) -> float:
+def _held(part: set[bytes], held: set[bytes], words: list[bytes], width: int) -> float:
     """Share of a part's shingles that the passage holds; a part shorter than a shingle counts where it stands."""
     if not part:
         return 1.0
-    if len(part) == 1 and (joined is None or part.isdisjoint(held)):
-        text = b" " + b" ".join(words) + b" "
-        return float(b" " + next(iter(part)) + b" " in text)
+    if len(part) == 1 and next(iter(part)).count(b" ") < width - 1:
+        return float(b" " + next(iter(part)) + b" " in b" " + b" ".join(words) + b" ")
     return len(part & held) / len(part)
 
 
