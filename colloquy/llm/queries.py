@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, quality, simhash, topk
+from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, quality, simhash, substring, topk
 from colloquy.llm._shared import remainder, table
 
 
@@ -43,6 +43,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=13)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -64,12 +68,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_format": op5_chat_format,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_bm25_decontam": op9_bm25_decontam,
     "op10_bpe_words": op10_bpe_words,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13
+        ), h AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p
+        ), r AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM h
+        ), gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS g FROM r WHERE least < doc_id GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
     "op1_line_dedup": """
         WITH e AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm._shared import scratch_path
 
-#: Bytes of text after which a block is closed.
-BLOCK_BYTES = 24_000_000
+#: Bytes of text, and distinct words, after which a block is closed.
+BLOCK_BYTES, BLOCK_WORDS = 24_000_000, 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -175,7 +175,7 @@ def build(docs: DataFrame, key: Column, text: Column, flag: Column, *, lower: bo
             for k, f, t in zip(keys, flags, texts, strict=True):
                 raw = t.as_py() or b""
                 now.add(k, (raw.lower() if lower else raw).split(), f)
-                if now.bytes >= block_bytes:
+                if now.bytes >= block_bytes or len(now.known) >= BLOCK_WORDS:
                     yield pa.RecordBatch.from_pylist([now.row()], schema=arrow)
                     at += 1
                     now = _Open(at, n_buckets)
