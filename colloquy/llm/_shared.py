@@ -34,13 +34,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
     """Delete the written intermediate tables. Call it when results that read them have been stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _scratch if p not in keep]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _scratch.remove(path)
+    while _scratch:
+        remove(spark, _scratch.pop())
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

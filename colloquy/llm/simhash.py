@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colloquy.llm._shared import stored
 from colloquy.llm.components import components
@@ -100,15 +101,15 @@ def fingerprint(text: str | None, width: int = 4) -> bytes:
 
 
 def fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): every row's id and fingerprint, as a signed 64-bit number."""
+    """(doc_id, copy, fp): every row's id, a hash of its text, and its fingerprint as a signed 64-bit number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = b"".join(fingerprint(t.as_py(), width) for t in batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], ["doc_id", "copy", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, copy long, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,6 +183,14 @@ def links(prints: DataFrame) -> DataFrame:
     return table.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long")
 
 
+def _classes(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, root): each fingerprint's least id, and the one that stands for its component."""
+    prints = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "simhash")
+    roots = stored(components(links(prints)), "simhash-roots")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return prints, classes.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs.
 
@@ -190,9 +199,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id",
     the smallest id reachable by links; ids that are null take no part in that minimum. Repeated rows are separate
     rows of one component. An empty table gives no rows. Other columns are not read.
     """
-    prints = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "simhash")
-    roots = stored(components(links(prints)), "simhash-roots")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, classes = _classes(docs, width, id_col, text_col)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest id, with no id only where none has one.
+
+    Of different texts under that id the one with the least hash stays, and of repeated rows one.
+    """
+    prints, classes = _classes(docs, width, id_col, text_col)
+    first = prints.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "copy", F.col("doc_id").cast("string").alias("s"))).alias("f"))
+    chosen = first.select(F.coalesce("f.s", F.lit("")).alias("_id"), F.col("f.n").alias("_null"), F.col("f.copy").alias("_copy"))
+    key = ["_id", "_null", "_copy"]
+    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_null": F.col(id_col).isNull(), "_copy": F.xxhash64(text_col)})
+    kept = rows.join(chosen, key).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    return kept.where("_nth = 1").select(*docs.columns)
