@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as lx
 
-_JAVA_CLASS = "[.*+?^${}()|\\[\\]\\\\]"
-
 
 def literal(term: str) -> str:
     """A pattern for the term itself that Java and RE2 read alike."""
@@ -42,10 +41,15 @@ def fingerprint(c: Column) -> Column:
     return F.sha2(canonical(c), 256)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body has it inside another function's lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grams(c: Column, n: int) -> Column:
     """All runs of n characters in order; the text itself if it is no longer than n, none if it is empty."""
-    length = F.length(c)
-    return F.when(length == 0, F.array().cast("array<string>")).when(length <= n, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))
+    runs = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return let(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda chars: F.when(F.size(chars) == 0, F.array().cast("array<string>")).when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(runs(chars)))
 
 
 def char_ngrams(c: Column, n: int = 5) -> Column:
@@ -61,16 +65,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ngram_repetition(c: Column, n: int = 4) -> Column:
     """1 - distinct/all runs of n characters of the compact text; 0 below 4n characters."""
-    plain = compact(c)
-    own = grams(plain, n)
-    return F.when(F.length(plain) < 4 * n, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(own)) / F.size(own))
+    own = lambda g: F.when(F.size(g) < 3 * n + 1, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g))
+    return let(grams(compact(c), n), own)
 
 
 def content_tokens(c: Column) -> Column:
     """Adjacent pairs of CJK characters, and lower-case Latin words of 3 letters or more, each once."""
     text = text_of(c)
-    cjk = F.regexp_extract_all(text, F.lit(f"({lx.CJK})"), 1)
-    pairs = F.when(F.size(cjk) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(cjk) - 1), lambda i: F.concat(F.element_at(cjk, i), F.element_at(cjk, i + 1))))
+    none = F.array().cast("array<string>")
+    pairs = let(F.regexp_extract_all(text, F.lit(f"({lx.CJK})"), 1), lambda cjk: F.when(F.size(cjk) < 2, none).otherwise(F.zip_with(F.slice(cjk, 1, F.size(cjk) - 1), F.slice(cjk, 2, F.size(cjk) - 1), lambda a, b: F.concat(a, b))))
     words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]{3,})"), 1), F.lower)
     return F.array_union(pairs, words)
 

@@ -1,11 +1,347 @@
-"""Named queries over a data folder, and the same queries in SQL."""
+"""Named queries over a data folder. Conversations stand for samples: see `samples`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.functions import text as tx
+from colloquy.functions.lexicons import DEFAULT
+from colloquy.operators import dedup, planning, report, review, scoring, store
+from colloquy.operators import messages as ms
+from colloquy.plans.oracles import ORACLES
+from colloquy.sources import backend
 
 FLAGSHIP = "conv_role_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    return ms.from_turns(_read(spark, d, "conversations"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """The sample table: a score and status from structure and length, the id as its time of update, a topic and a source."""
+    df = conversations(spark, d).withColumns({"_u": F.size(ms.with_role(F.col("messages"), "user")), "_a": F.size(ms.with_role(F.col("messages"), "assistant"))})
+    score = F.round((scoring.role_sequence(F.col("messages")) + scoring.multi_turn(F.col("_u"), F.col("_a")) + scoring.length_bucket(F.length(ms.conversation_text(F.col("messages"))))) / 3, 2)
+    df = df.select(F.col("conv_id").alias("id"), "messages", score.alias("score"), F.col("conv_id").alias("created_at"), F.col("conv_id").alias("updated_at"), F.format_string("low_%02d", F.col("conv_id") % 7).alias("topic_id"), F.when(F.col("conv_id") % 3 == 0, "teacher").otherwise("two_model_dialogue").alias("source"))
+    return df.withColumn("status", F.when(F.col("score") >= 8, "accepted").when(F.col("score") >= 6, "needs_review").otherwise("rejected"))
+
+
+@query
+def conv_role_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = conversations(spark, d)
+    u, a = F.size(ms.with_role(F.col("messages"), "user")), F.size(ms.with_role(F.col("messages"), "assistant"))
+    text = ms.conversation_text(F.col("messages"))
+    return c.select("conv_id", u.alias("n_user"), a.alias("n_assistant"), F.size(ms.with_role(F.col("messages"), "system")).alias("n_system"), F.length(text).alias("n_chars"), tx.fingerprint(text).alias("fingerprint"), F.round(scoring.role_sequence(F.col("messages")), 4).alias("role_score"), scoring.multi_turn(u, a).alias("multi_turn"), scoring.length_bucket(F.length(text)).alias("length_score"))
+
+
+@query
+def conv_length_bucket(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length(ms.conversation_text(F.col("messages")))
+    return conversations(spark, d).groupBy(scoring.length_bucket(n).alias("length_score")).agg(F.count("*").alias("n"), F.sum(n).alias("chars"))
+
+
+@query
+def conv_text_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", tx.fingerprint(ms.conversation_text(F.col("messages"))).alias("fingerprint"))
+
+
+@query
+def conv_role_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.round(scoring.role_sequence(F.col("messages")), 4).alias("role_score"))
+
+
+@query
+def conv_export_chatml(spark: SparkSession, d: str) -> DataFrame:
+    return store.export(samples(spark, d), include_review=True).select("id", F.to_json("messages").alias("messages"))
+
+
+@query
+def conv_export_sharegpt(spark: SparkSession, d: str) -> DataFrame:
+    return store.export(samples(spark, d), sources=("teacher",)).select("id", F.to_json("conversations").alias("conversations"), F.element_at("metadata", "status").alias("status"))
+
+
+@query
+def conv_sharegpt_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.to_json(ms.from_sharegpt(ms.to_sharegpt(F.col("messages")))).alias("messages"))
+
+
+@query
+def conv_preview(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", ms.preview(F.col("messages")).alias("preview"))
+
+
+@query
+def conv_transcript_numbered(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", ms.numbered_transcript(F.col("messages")).alias("transcript"))
+
+
+@query
+def conv_transcript_tail(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", ms.tail_transcript(F.col("messages"), 3).alias("transcript"))
+
+
+@query
+def conv_trim_k2(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.size(ms.trim_at_user_turn(F.col("messages"), 2)).alias("n_kept"), F.sha2(ms.conversation_text(ms.trim_at_user_turn(F.col("messages"), 2)), 256).alias("kept_sha256"))
+
+
+@query
+def conv_adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.size(ms.adjacent_pairs(F.col("messages"))).alias("n_pairs"), F.size(ms.adjacent_pairs(F.col("messages"), 2)).alias("n_even_pairs"))
+
+
+@query
+def conv_context_messages(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.to_json(ms.context_messages(F.col("messages"), "replace", "Stay on the topic.")).alias("messages"))
+
+
+@query
+def conv_validated(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.size(ms.validated(F.col("messages"))).alias("n"), ms.hard_wall(F.col("messages")).alias("wall"))
+
+
+@query
+def conv_ngram_repetition(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.round(tx.ngram_repetition(ms.conversation_text(F.col("messages"))), 6).alias("repetition"))
+
+
+@query
+def conv_nonsequitur(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.round(scoring.non_sequitur(F.col("messages")), 4).alias("badness"))
+
+
+@query
+def conv_human_naturalness(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("conv_id", F.round(scoring.human_naturalness(ms.role_text(F.col("messages"), "user"), F.size(ms.with_role(F.col("messages"), "user"))), 4).alias("naturalness"))
+
+
+@query
+def conv_topic_domains(spark: SparkSession, d: str) -> DataFrame:
+    counts = tx.domain_counts(F.array_join(ms.contents(ms.dialogue(F.col("messages"))), "\n"), DEFAULT.domains)
+    return conversations(spark, d).select("conv_id", F.explode(counts).alias("domain", "hits"))
+
+
+@query
+def conv_topic_drift(spark: SparkSession, d: str) -> DataFrame:
+    out = scoring.drift_columns(conversations(spark, d))
+    return out.select("conv_id", "drift_severity", "drift_entropy", F.array_join("drift_unexpected", ",").alias("unexpected"), F.array_join("drift_recent_unexpected", ",").alias("recent_unexpected"))
+
+
+@query
+def conv_leakage_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = tx.matched(ms.conversation_text(F.col("messages")), DEFAULT.leak_terms, [], 12)
+    return conversations(spark, d).select("conv_id", F.array_join(hits, ",").alias("hits"))
+
+
+@query
+def conv_score_no_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.heuristic_review(conversations(spark, d), with_similarity=False).select("conv_id", *scoring.POSITIVE, "repetition_badness", "topic_drift_badness", "non_sequitur_badness", "overall", "status")
+
+
+@query
+def conv_score_full(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.heuristic_review(conversations(spark, d)).select("conv_id", *scoring.POSITIVE, "repetition_badness", "topic_drift_badness", "non_sequitur_badness", "overall", "status")
+
+
+@query
+def conv_trend(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.trend(conversations(spark, d)).select("conv_id", "trend_severity", "drift_severity")
+
+
+@query
+def conv_stats_by_status(spark: SparkSession, d: str) -> DataFrame:
+    return store.stats(samples(spark, d))
+
+
+@query
+def conv_search(spark: SparkSession, d: str) -> DataFrame:
+    return store.search(samples(spark, d), q="The", limit=20, offset=5).select("id", "score", "status")
+
+
+@query
+def conv_recent(spark: SparkSession, d: str) -> DataFrame:
+    return store.recent(samples(spark, d), 30).select("id", "score")
+
+
+@query
+def conv_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return store.lookup(samples(spark, d), 7).select("id", "score", "status")
+
+
+@query
+def conv_batch_semi(spark: SparkSession, d: str) -> DataFrame:
+    return store.batch(samples(spark, d), _read(spark, d, "documents").where("n_chars > 1500").select(F.col("doc_id").alias("id"))).select("id", "score")
+
+
+@query
+def conv_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d).select("id", "created_at", "updated_at", "score", "status")
+    new = own.where("id % 2 = 0").select((F.col("id") + 10).alias("id"), (F.col("created_at") + 1000).alias("created_at"), (F.col("updated_at") + 1000).alias("updated_at"), F.lit(1.0).alias("score"), "status")
+    return store.upsert(own, new)
+
+
+@query
+def conv_partial_update(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d).select("id", "updated_at", "score", "status")
+    return store.update(own, own.where("id % 5 = 0").select("id", F.lit("rejected").alias("status"), F.lit(0.5).alias("score")))
+
+
+@query
+def conv_newest_per_id(spark: SparkSession, d: str) -> DataFrame:
+    files = _read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.length("text").alias("mtime"), F.col("turn").alias("scan"))
+    return store.newest_per_id(files)
+
+
+@query
+def conv_topic_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.histograms(samples(spark, d), ("topic_id", "status", "source"))
+
+
+@query
+def conv_report_averages(spark: SparkSession, d: str) -> DataFrame:
+    return report.averages(report.measures(samples(spark, d)))
+
+
+@query
+def conv_top_issues(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_issues(report.measures(samples(spark, d))).select("id", "formula", "hype", "emoji")
+
+
+def _pool(spark: SparkSession) -> DataFrame:
+    return spark.range(1, 41).select(F.format_string("low_%02d", "id").alias("topic_id"), F.when(F.col("id") <= 16, "low").when(F.col("id") <= 32, "mid").otherwise("high").alias("tier"))
+
+
+@query
+def conv_missing_topics(spark: SparkSession, d: str) -> DataFrame:
+    return report.missing(_pool(spark), samples(spark, d)).select("topic_id")
+
+
+@query
+def conv_topic_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return report.coverage(_pool(spark), samples(spark, d))
+
+
+@query
+def conv_rejudge_confusion(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d)
+    moved = own.withColumn("score", F.round(F.col("score") - F.when(F.col("id") % 4 == 0, 2.0).otherwise(0.0), 2)).withColumn("status", F.when(F.col("score") >= 8, "accepted").when(F.col("score") >= 6, "needs_review").otherwise("rejected"))
+    return report.confusion(own, moved)
+
+
+@query
+def conv_judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d)
+    answer = F.concat(F.lit('```json\n{"scores":{"a":'), F.col("score").cast("string"), F.lit(',"b":8.0},"reasons":[]}\n```'))
+    out = review.review(own.select("id", "messages", answer.alias("answer")), review.parse_verdict(F.col("answer")))
+    return out.select("id", "status", F.round("overall", 4).alias("overall"), "reviewer")
+
+
+@query
+def conv_stub_completion(spark: SparkSession, d: str) -> DataFrame:
+    return backend.complete(conversations(spark, d), "messages").select("conv_id", "answer")
+
+
+@query
+def conv_duplicate_penalty(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d).select("id", "status", F.col("score").alias("overall"), F.lit(7.0).alias("training_value"), F.array().cast("array<string>").alias("reasons"))
+    dups = own.where("id % 6 = 5").select("id", (F.col("id") - 1).alias("duplicate_of"), F.lit(0.91234).alias("similarity"))
+    return review.penalise_duplicates(own, dups).select("id", "status", "overall", "training_value", "duplicate_of", "duplicate_score", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query
+def docs_exact_dups(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_duplicates(_read(spark, d, "documents"), "doc_id", "text").where("doc_id <> first_id")
+
+
+@query
+def docs_first_of_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_duplicates(_read(spark, d, "documents"), "doc_id", "text").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("first_id").alias("first_id"))
+
+
+@query
+def docs_near_dups_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def docs_near_dups_full(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text", with_sequence=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def docs_marker_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _read(spark, d, "documents").select("doc_id", tx.marker_count(t, ["the", "Of", "qu", "!!"]).alias("markers"), tx.marker_hits(t, ["The", "der", "ción"]).alias("hits"), tx.pattern_count(t, ["in.{0,5}to", "^The"]).alias("patterns"))
+
+
+@query
+def docs_emoji_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", tx.emoji_count(F.col("text")).alias("emoji"))
+
+
+@query
+def docs_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    return _read(spark, d, "documents").select("doc_id", tx.word_count(low, "the").alias("n_the"), tx.word_count(low, "é").alias("n_e"), tx.word_count(low, "la").alias("n_la"))
+
+
+@query
+def docs_compact_stats(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _read(spark, d, "documents").select("doc_id", F.length(tx.compact(t)).alias("n_compact"), F.length(tx.canonical(t)).alias("n_canonical"), F.size(tx.char_ngrams(tx.canonical(t))).alias("n_grams"))
+
+
+@query
+def docs_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
+    return _read(spark, d, "documents").select("doc_id", F.sha2(tx.strip_fences(fenced), 256).alias("inner_sha256"), F.length(tx.cut_leaks(F.concat(F.col("text"), F.lit("\nUser: more")))).alias("n_cut"), tx.trim_user(F.col("text")).alias("trimmed"), tx.ended(F.concat(F.lit(" [END] "), F.col("lang"))).alias("ended"))
+
+
+@query
+def docs_content_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.size(tx.content_tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query
+def labels_join_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = _read(spark, d, "documents").select("doc_id", "lang", "n_chars"), _read(spark, d, "labels")
+    return docs.join(labels, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("n_chars").alias("chars"))
+
+
+@query
+def events_props(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events").select("event_type", F.col("value").isNotNull().alias("has_value"), F.try_parse_json("props").isNotNull().alias("is_json"))
+    return e.groupBy("event_type", "has_value", "is_json").agg(F.count("*").alias("n"))
+
+
+@query
+def plan_tier_quota(spark: SparkSession, d: str) -> DataFrame:
+    n = _read(spark, d, "nation").count()
+    return planning.tier_quotas(spark, n)
+
+
+@query
+def plan_topic_rounds(spark: SparkSession, d: str) -> DataFrame:
+    topics = _pool(spark)
+    seen = samples(spark, d).groupBy("topic_id").agg(F.count("*").cast("int").alias("seen"))
+    out = planning.topic_rounds(topics, planning.tier_quotas(spark, 100), seen)
+    return out.groupBy("tier", "topic_id").agg(F.count("*").alias("n")).groupBy("tier").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("n").alias("fewest"))
+
+
+@query
+def plan_axis_roundrobin(spark: SparkSession, d: str) -> DataFrame:
+    out = planning.plan(spark, _pool(spark), 70, axes={"scene": (10, 1), "profile": (7, 2)})
+    return out.groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct("profile").alias("profiles"))
