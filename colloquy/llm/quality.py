@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, *, m
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     got = rows.mapInArrow(measure, "id string, y int, x array<double>").orderBy("id", "y", "x").toArrow().to_pydict()
-    return train(np.array(got["x"], np.float64).reshape(len(got["y"]), -1), np.array(got["y"]), n_pairs)
+    return train(np.array(got["x"], np.float64).reshape(len(got["y"]), len(features(""))), np.array(got["y"]), n_pairs)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
