@@ -26,6 +26,15 @@ from colloquy.llm.wordblocks import numbers, pack, unpack
 ADD = 0.5
 
 
+_BINS = 200
+
+
+def _bin(counts: np.ndarray) -> np.ndarray:
+    """Four bins an octave: bin b holds the counts from 2^(b/4) up to the next bin's first."""
+    edges = np.ceil(2 ** (np.arange(_BINS) / 4))
+    return np.minimum(np.searchsorted(edges, counts, "right") - 1, _BINS - 1)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -146,13 +155,19 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
             for w, c in zip(words, unpack(blobs["counts"], np.uint32).tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         known = sorted(((c, w) for w, c in total.items() if c), key=lambda x: (-x[0], x[1]))
-        yield {"n": sum(c for c, _ in known), "v": len(known), "top": [{"w": w, "c": c} for c, w in known[:n_words]]}
+        bins = np.bincount(_bin(np.array([c for c, _ in known], np.int64)), minlength=_BINS)
+        yield {"n": sum(c for c, _ in known), "v": len(known), "bins": bins.tolist(), "top": [{"w": w, "c": c} for c, w in known[:n_words]]}
 
-    sums = stored(blocks.look_up(count, "n long, v long, top array<struct<w: binary, c: bigint>>", carry=("counts",)), "classlm-counts")
+    sums = stored(blocks.look_up(count, "n long, v long, bins array<bigint>, top array<struct<w: binary, c: bigint>>", carry=("counts",)), "classlm-counts")
     ends = blocks.df.agg(F.sum(F.size(F.filter("flags", lambda f: f)))).first()[0] or 0
     words_n, words_v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     train_n, train_v = words_n + ends, words_v + (ends > 0)
-    head = [(bytes(r["w"]), r["c"]) for r in sums.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("c"), "w").limit(n_words).collect()]
+    # few more words than n_words are sorted: those from the bin of counts on that completes them
+    bins = np.array(sums.agg(*[F.coalesce(F.sum(F.col("bins")[i]), F.lit(0)) for i in range(_BINS)]).first())
+    enough = np.flatnonzero(np.cumsum(bins[::-1]) >= n_words)
+    at_least = _BINS - 1 - int(enough[0]) if len(enough) else 0
+    frequent = F.filter("top", lambda t: t["c"] >= int(np.ceil(2 ** (at_least / 4))))
+    head = [(bytes(r["w"]), r["c"]) for r in sums.select(F.explode(frequent).alias("t")).select("t.*").orderBy(F.desc("c"), "w").limit(n_words).collect()]
     index = {w: n for n, (w, _) in enumerate(head)}
     k = len(head)
     other, end = k, k + 1
