@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from colloquy.llm._shared import scratch_path
 
 #: Bytes of text, and distinct words, after which a block is closed.
-BLOCK_BYTES, BLOCK_WORDS = 24_000_000, 1_000_000
+BLOCK_BYTES, BLOCK_WORDS = 16_000_000, 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
