@@ -120,14 +120,34 @@ def word_count(c: Column, term: str) -> Column:
 
 
 def domain_counts(c: Column, domains: dict[str, list[str]]) -> Column:
-    """Map from domain to its number of hits, without domains that have none. CJK terms count wherever they occur."""
-    text = F.lower(text_of(c))
-    cjk = re.compile("[一-鿿]")
-    own = []
+    """Map from domain to its number of hits, without domains that have none. CJK terms count wherever they occur.
+
+    Single words are looked up among the text's words, so the text is split once, however many terms there are.
+    """
+    cjk, one_word = re.compile("[一-鿿]"), re.compile(r"[^\W]+")
+    owners: dict[str, list[str]] = {}
     for name, terms in domains.items():
-        total = reduce(lambda a, b: a + b, [occurrences(text, t.lower()) if cjk.search(t) else word_count(text, t.lower()) for t in terms])
-        own.append(F.struct(F.lit(name).alias("k"), total.cast("int").alias("v")))
-    return F.map_from_entries(F.filter(F.array(*own), lambda e: e["v"] > 0))
+        for t in (t.lower() for t in terms if not cjk.search(t) and one_word.fullmatch(t)):
+            owners.setdefault(t, []).append(name)
+    table = F.create_map(*[x for t, names in owners.items() for x in (F.lit(t), F.array(*map(F.lit, names)))])
+    none = F.array().cast("array<string>")
+
+    def counted(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+        hits = F.flatten(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), none)))
+        return let(hits, lambda h: F.array(*[F.struct(F.lit(n).alias("k"), _domain_total(text, h, n, ts, cjk, one_word).cast("int").alias("v")) for n, ts in domains.items()]))
+
+    return F.map_from_entries(F.filter(let(F.lower(text_of(c)), counted), lambda e: e["v"] > 0))
+
+
+def _domain_total(text: Column, hits: Column, name: str, terms: list[str], cjk: re.Pattern, one_word: re.Pattern) -> Column:
+    total = F.size(F.filter(hits, lambda h: h == name))
+    for t in (t.lower() for t in terms):
+        if cjk.search(t):
+            total = total + occurrences(text, t)
+        elif not one_word.fullmatch(t):
+            total = total + word_count(text, t)
+    return total
 
 
 def entropy(counts: Column) -> Column:
