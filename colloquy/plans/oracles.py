@@ -156,8 +156,8 @@ ORACLES: dict[str, str] = {
     ),
     "conv_topic_domains": _with("SELECT conv_id, domain, hits FROM dom", _DRIFT),
     "conv_topic_drift": _with(
-        """SELECT m.conv_id, round(CASE WHEN coalesce(len(run.ds), 0) >= 2 THEN 2.2 + 0.35 * len(run.ds) WHEN coalesce(len(run.ds), 0) = 1 AND full_.n >= 8 THEN 0.8 ELSE 0.0 END
-            + CASE WHEN coalesce(seen, 0) >= 5 AND entropy >= 1.75 THEN 1.4 ELSE 0.0 END + CASE WHEN coalesce(len(un.ds), 0) >= 3 THEN 1.2 ELSE 0.0 END, 2) AS drift_severity,
+        """SELECT m.conv_id, round(CAST(CASE WHEN coalesce(len(run.ds), 0) >= 2 THEN 2.2 + 0.35 * len(run.ds) WHEN coalesce(len(run.ds), 0) = 1 AND full_.n >= 8 THEN 0.8 ELSE 0.0 END
+            + CASE WHEN coalesce(seen, 0) >= 5 AND entropy >= 1.75 THEN 1.4 ELSE 0.0 END + CASE WHEN coalesce(len(un.ds), 0) >= 3 THEN 1.2 ELSE 0.0 END AS DOUBLE), 2) AS drift_severity,
             coalesce(entropy, 0.0) AS drift_entropy, coalesce(array_to_string(un.ds, ','), '') AS unexpected, coalesce(array_to_string(run.ds, ','), '') AS recent_unexpected
         FROM m LEFT JOIN full_ USING (conv_id) LEFT JOIN agg USING (conv_id) LEFT JOIN un ON un.conv_id = m.conv_id LEFT JOIN run ON run.conv_id = m.conv_id""",
         _DRIFT,
