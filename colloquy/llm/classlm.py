@@ -1,10 +1,13 @@
 """Class-based bigram language model with exchange clustering (Brown classes).
 
-P(w | previous) = P(class of w | class of previous) * P(w | class of w). The most frequent training words, a bounded
-number of them, are clustered by exchange: each word in turn moves to the class that raises the likelihood of the
-training bigrams most, until few words move. Their bigram counts, over all training documents, make a table whose size
-the bound fixes. The classes are clustered the same way into groups, and every other word of the corpus takes one
-exchange step against these: it joins the tail class whose neighbour groups explain its own neighbours best.
+P(w | previous) = P(class of w | class of previous) * P(w | class of w). The clustering starts from the most frequent
+training words: exchange on the table of their bigrams, each word in turn moving to the class that raises the likelihood
+of the training bigrams most; the classes are clustered the same way into groups, and every other word joins the tail
+class whose neighbour groups explain its own neighbours best. From there all training words, frequent or rare, are
+exchanged in repeated sweeps over the whole corpus: blocks count each word's neighbours by class, with both words
+rare or not, and every word moves to the class, of all, that gains most against the class bigrams of the corpus less its
+own. Words of one sweep move at once, from the third sweep on half of them, so each new state is counted anew; sweeps end
+when the likelihood gains little, and a state that lost is dropped for the one before.
 Emissions are add-half over the class's words, transitions are smoothed towards the class unigram. The unknown word is a
 class of its own; words seen once lend it half their transitions. The model sums to one over the training words, the
 unknown word and the end.
@@ -12,15 +15,16 @@ unknown word and the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import wordblocks
-from colloquy.llm._shared import stored
+from colloquy.llm._shared import remove, scratch_path, stored
 from colloquy.llm.wordblocks import numbers, pack, unpack
 
 ADD = 0.5
@@ -39,6 +43,37 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _gain(table: np.ndarray, t: np.ndarray, f: np.ndarray, loop: float) -> np.ndarray:
+    """What each class gains in sum(n log n) from a word that table is without: t to each class, f after each, loop to itself."""
+    row, col = table.sum(1), table.sum(0)
+    gain = (_xlogx(table + t) - _xlogx(table)).sum(1) + (_xlogx(table + f[:, None]) - _xlogx(table)).sum(0)
+    diag = np.diag(table)
+    gain += _xlogx(diag + t + f + loop) - _xlogx(diag + t) - _xlogx(diag + f) + _xlogx(diag)
+    left, right = t.sum() + loop, f.sum() + loop
+    return gain - (_xlogx(row + left) - _xlogx(row) + _xlogx(col + right) - _xlogx(col))
+
+
+def _rare_fit(table: np.ndarray, own: np.ndarray, to: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word's neighbours (rows of to, by) in each class, in its own class without the word itself."""
+    n = max(table.sum(), 1)
+    fit = np.zeros((len(own), len(table)))
+    at = np.arange(len(own))
+    mine = np.zeros(len(own))
+    for counts, seen in ((table, to), (table.T, by)):
+        prior = ADD * len(table) * (counts.sum(0) + ADD) / (n + ADD * len(table))
+        size = counts.sum(1) + prior.sum()
+        fit += seen @ np.log((counts + prior) / size[:, None]).T
+        less = np.log((np.maximum(counts[own] - seen, 0) + prior) / np.maximum(size[own] - seen.sum(1), prior.sum())[:, None])
+        mine += (seen * less).sum(1)
+    fit[at, own] = mine
+    return fit
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What of the log-likelihood of the training bigrams depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
 def exchange(counts: np.ndarray, n_classes: int, sweeps: int, least_moves: float = 0.002) -> np.ndarray:
     """Class of each row of a square matrix of bigram counts (previous, next), by the exchange algorithm."""
     n = len(counts)
@@ -52,7 +87,6 @@ def exchange(counts: np.ndarray, n_classes: int, sweeps: int, least_moves: float
         to[:, c] = counts[:, own == c].sum(1)
         by[:, c] = counts[own == c].sum(0)
     table = np.stack([to[own == c].sum(0) for c in range(n_classes)])
-    left, right = counts.sum(1).astype(float), counts.sum(0).astype(float)
     for _ in range(sweeps):
         moves = 0
         for w in order:
@@ -64,13 +98,7 @@ def exchange(counts: np.ndarray, n_classes: int, sweeps: int, least_moves: float
             table[a] -= t
             table[:, a] -= f
             table[a, a] -= loop
-            row, col = table.sum(1), table.sum(0)
-            gain = (_xlogx(table + t) - _xlogx(table)).sum(1) + (_xlogx(table + f[:, None]) - _xlogx(table)).sum(0)
-            diag = np.diag(table)
-            both = diag + t + f + loop
-            gain += _xlogx(both) - _xlogx(diag + t) - _xlogx(diag + f) + _xlogx(diag)
-            gain -= _xlogx(row + left[w]) - _xlogx(row) + _xlogx(col + right[w]) - _xlogx(col)
-            b = int(gain.argmax())
+            b = int(_gain(table, t, f, loop).argmax())
             table[b] += t
             table[:, b] += f
             table[b, b] += loop
@@ -135,14 +163,14 @@ def _slice_batch(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
 
-def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes: int = 64, n_groups: int = 12, sweeps: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes: int = 64, n_groups: int = 12, sweeps: int = 12, corpus_sweeps: int = 6, least_gain: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of docs.
 
     Learns from the rows of which train_on is true (a null condition is true: such rows are not held out). Tokens are words
     between ASCII white space, A-Z in lower case, then one end for each text; a null or empty text is its end alone.
     base_score is the add-half unigram model's log10 probability, score the class model's. Counts and statistics come
-    from all training rows; only the number of words that are clustered pairwise has a bound, n_words. Without training
-    rows both models have no word but the unknown one, and N is 0. Repeated rows count and are scored each.
+    from all training rows, and all training words are clustered: n_words bounds only the table that the clustering starts
+    from, corpus_sweeps the sweeps after it, which end once one gains less than least_gain nats a token. Without training rows both models have no word but the unknown one, and N is 0. Repeated rows count and are scored each.
     """
     spark = docs.sparkSession
     in_training = F.coalesce(train_on, F.lit(True))
@@ -234,6 +262,10 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
             seen[which] += s
         fit = seen @ near.T + prior
         chosen = n_classes + fit.argmax(1)
+        # words without a frequent neighbour are dealt over the tail classes: the sweeps tell them apart
+        for w, n in known.items():
+            if not seen[n].any():
+                chosen[n] = n_classes + xxhash.xxh32_intdigest(w, 13) % n_groups
         for w, n in known.items():
             if w in head_table.value:
                 chosen[n] = head_table.value[w][0]
@@ -242,7 +274,92 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
         for i, (block, which, _, _) in enumerate(asks):
             yield {"block": block, "bucket": bucket, "count": pack(counts[which].astype(np.uint64)), "cls": pack(chosen[which].astype(np.uint16)), "sizes": sizes.astype(int).tolist() if not i else None, "types": types.tolist() if not i else None}
 
-    known = stored(blocks.look_up(assign, "block long, bucket int, count binary, cls binary, sizes array<bigint>, types array<bigint>", extra=around, carry=("counts", "seen")), "classlm-words")
+    known_schema = "block long, bucket int, count binary, cls binary, sizes array<bigint>, types array<bigint>"
+    known = stored(blocks.look_up(assign, known_schema, extra=around, carry=("counts", "seen")), "classlm-words")
+
+    def contexts(row: dict, got: dict[str, list]) -> Iterator[pa.Table]:
+        # of each word the classes before and after it, and with the first bucket the block's class bigrams
+        own = [unpack(b, np.uint16) for b in got["cls"]]
+        stops = np.cumsum([0, *map(len, own)])
+        n = int(stops[-1])
+        cls = np.r_[np.concatenate([*own, np.empty(0, np.uint16)]), total - 1].astype(np.uint32)
+        before, word, _ = _previous(row, numbers(row), n)
+        use = training(row)
+        before, word = before[use].astype(np.uint32), word[use].astype(np.uint32)
+        table = np.bincount(cls[before].astype(np.int64) * total + cls[word], minlength=total * total)
+        after, to = before < n, word < n
+        keys = np.concatenate([before[after] * np.uint32(2 * total) + cls[word[after]], word[to] * np.uint32(2 * total) + (cls[before[to]] + np.uint32(total))])
+        at, times = np.unique(keys, return_counts=True)
+        cuts = np.searchsorted(at, stops * 2 * total)
+        rows = []
+        for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            places = np.diff(at[s:e], prepend=np.uint32(stops[i] * 2 * total)).astype(np.uint32)
+            rows.append({"block": row["block"], "bucket": got["bucket"][i], "cls": got["cls"][i], "places": pack(places), "times": pack(times[s:e].astype(np.uint32)), "slice": None, "at": None, "n": None})
+        if rows:
+            rows[0] |= next(_slices(table), {})
+            yield pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("cls", "places", "times")], ("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+
+    loops = {w: int(pairs[n, n]) for w, n in index.items()}
+
+    def move(table: np.ndarray, sweep: int) -> Callable[[int, list], Iterator[dict]]:
+        def moved(bucket: int, asked: list) -> Iterator[dict]:
+            known: dict[bytes, int] = {}
+            put = known.setdefault
+            asks = [(block, np.fromiter((put(w, len(known)) for w in words), np.int64, len(words)), blobs) for block, words, blobs in asked]
+            counts, cls, seen = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known) * 2 * total, np.uint32)
+            for _, which, blobs in asks:
+                counts[which] += unpack(blobs["counts"], np.uint32)
+                cls[which] = unpack(blobs["cls"], np.uint16)
+                at = np.cumsum(unpack(blobs["places"], np.uint32), dtype=np.int64)
+                seen[which[at // (2 * total)] * 2 * total + at % (2 * total)] += unpack(blobs["times"], np.uint32)
+            seen = seen.reshape(-1, 2 * total)
+            chosen = cls.copy()
+            for s in range(0, len(known), 8192):
+                part = seen[s : s + 8192].astype(np.float64)
+                chosen[s : s + 8192] = _rare_fit(table, cls[s : s + 8192], part[:, :total], part[:, total:])[:, :last].argmax(1)
+            # frequent words one after the other, by their exact gain
+            now = table.copy()
+            for w in sorted(known.keys() & loops_of.value.keys(), key=lambda w: -counts[known[w]]):
+                i, loop = known[w], float(loops_of.value[w])
+                a, t, f = cls[i], seen[i, :total].astype(np.float64), seen[i, total:].astype(np.float64)
+                t[a] -= loop
+                f[a] -= loop
+                now[a] -= t
+                now[:, a] -= f
+                now[a, a] -= loop
+                b = chosen[i] = _gain(now, t, f, loop)[:last].argmax()
+                now[b] += t
+                now[:, b] += f
+                now[b, b] += loop
+            if sweep > 1:
+                stays = np.fromiter((xxhash.xxh32_intdigest(w, 11) + sweep & 1 for w in known), bool, len(known))
+                chosen[stays] = cls[stays]
+            chosen[counts == 0] = last
+            sizes, types = np.bincount(chosen, weights=counts, minlength=total), np.bincount(chosen[counts > 0], minlength=total)
+            for i, (block, which, _) in enumerate(asks):
+                yield {"block": block, "bucket": bucket, "count": pack(counts[which].astype(np.uint64)), "cls": pack(chosen[which].astype(np.uint16)), "sizes": sizes.astype(int).tolist() if not i else None, "types": types.tolist() if not i else None}
+
+        return moved
+
+    loops_of = spark.sparkContext.broadcast(loops)
+    before_it, best = known, -np.inf
+    for n in range(corpus_sweeps + 1 if words_n else 0):
+        path = scratch_path(spark, "classlm-contexts")
+        blocks.with_answers(known.select("block", "bucket", "cls"), contexts, "block long, bucket int, cls binary, places binary, times binary, slice int, at binary, n binary").write.parquet(path)
+        near_by = spark.read.parquet(path)
+        table = _summed(near_by.where("slice IS NOT NULL").select("slice", "at", "n"), total * total).reshape(total, total).astype(np.float64)
+        now = likelihood(table) / train_n
+        if now < best:
+            known = before_it
+        enough = now - best < least_gain
+        best = max(now, best)
+        if not enough and n < corpus_sweeps:
+            before_it = known
+            around = near_by.select("block", "bucket", "cls", "places", "times")
+            known = stored(blocks.look_up(move(table, n), known_schema, extra=around, carry=("counts", "cls", "places", "times")), "classlm-words")
+        remove(spark, path)
+        if enough:
+            break
 
     def transitions(row: dict, got: dict[str, list]) -> Iterator[pa.Table]:
         # were one token left out, a word seen once would be unknown: half of it stands for the unknown word

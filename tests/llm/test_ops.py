@@ -94,6 +94,17 @@ def test_class_lm(docs, empty, texts, spark):
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in nothing)
 
 
+def test_class_lm_exchanges_words_without_frequent_neighbours(spark):
+    rng = np.random.default_rng(5)
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    texts = [" ".join(str(rng.choice(b if n % 2 else a)) for n in range(40)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "h1 h2 " * 300) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = classlm.score(table, F.col("doc_id") % 10 != 1, n_words=2, n_classes=2, n_groups=4).where("held_out AND doc_id < 1000")
+    # 80 words, of which either half follows the other: a model that knows it needs about 40, one that does not 80
+    assert all(r.perplexity < 50 for r in got.collect())
+
+
 def test_exchange_finds_alternating_classes():
     counts = np.zeros((6, 6), int)
     counts[:3, 3:] = [[40, 30, 5], [20, 10, 3], [9, 6, 2]]
