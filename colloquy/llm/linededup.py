@@ -46,21 +46,36 @@ def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id"
     return level
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, copy, at, rank): lines of min_words words or more that occur more than once; rank is the line's hash."""
+    line = F.transform(F.split(text_col, "\n", -1), lambda x: F.when(F.regexp_count(x, F.lit(r"\S+")) >= min_words, F.xxhash64(x)))
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.posexplode(line).alias("at", "rank")).where("rank IS NOT NULL")
+    usual = lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    return stored(lines.join(usual, "rank").distinct(), "line-singles")
+
+
+def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `n_lines`, `n_removed` and the text less its lines in later copies of runs of min_lines lines or more.
 
     Lines are what lies between line feeds, compared by 64-bit hash. A run's first occurrence, by id (nulls first) and
     place, stays, and of a run that overlaps itself in a document the first min_lines lines do. Every row comes back: a text
     all of whose lines go is empty, a null text stays null and has no lines. Rows with the same id and text are the same
     document: they are no copies of each other and lose the same lines. Rows with one id and different texts are different
-    documents, in the order of their texts' hashes. An empty table gives an empty one.
+    documents, in the order of their texts' hashes. An empty table gives an empty one. With min_words, later copies of single
+    lines of that many words or more go too, whatever stands around them.
     """
     own = ["n_lines", "n_removed", "_lines", "_doc", "_copy"]
-    level = repeated_runs(docs, min_lines=min_lines, id_col=id_col, text_col=text_col)
     place = F.struct("doc", "copy", "at")
-    first = level.groupBy("rank").agg(F.min(place).alias("first"))
-    later = level.join(first, "rank").where(place > F.col("first"))
-    gone = later.select("doc", "copy", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("line")).groupBy("doc", "copy").agg(F.collect_set("line").alias("gone"))
+
+    def later(level: DataFrame) -> DataFrame:
+        first = level.groupBy("rank").agg(F.min(place).alias("first"))
+        return level.join(first, "rank").where(place > F.col("first"))
+
+    runs = later(repeated_runs(docs, min_lines=min_lines, id_col=id_col, text_col=text_col))
+    lines = runs.select("doc", "copy", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("line"))
+    if min_words is not None:
+        lines = lines.unionByName(later(_long_lines(docs, min_words, id_col, text_col)).select("doc", "copy", F.col("at").alias("line")))
+    gone = lines.groupBy("doc", "copy").agg(F.collect_set("line").alias("gone"))
     # split before the join, so that it is done once a row
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.split(text_col, "\n", -1).alias("_lines"), F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_copy"))
     rows = rows.drop(text_col).join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_copy") == F.col("copy")), "left").drop("doc", "copy")
