@@ -53,7 +53,7 @@ class _Best:
             for b, s in enumerate(starts if exact else []):
                 if at_least is not None:
                     bound = total + self.rest[b, n] * rest[b][alive]
-                    keep = bound * (1 + 1e-9) + 1e-6 >= at_least
+                    keep = bound + np.abs(bound) * 1e-9 + 1e-6 >= at_least
                     if not keep.all():
                         alive, total = alive[keep], total[keep]
                 if not len(alive):

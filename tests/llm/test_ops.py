@@ -143,6 +143,18 @@ def test_topk(spark):
     assert topk.exact_topk(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_keeps_ties_of_negative_scores(spark):
+    # the candidates' components beyond the first 16 are zero, so the bound is tight
+    far = [[-1000.0] + [0.0] * 19, [5.0] + [0.0] * 19]
+    df = spark.createDataFrame([(100, far[0]), (9, far[1]), (3, far[1])], "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.exact_topk(df, F.col("vec_id") == 100, k=1, scale=1)
+    assert [tuple(r) for r in got.collect()] == [(100, 1, 3, -5000)]
+    best = topk._Best(np.array([100]), np.array([far[0]], np.int64), 1, 16)
+    for i in (9, 3):
+        best.add(np.array([i]), np.array([far[1]], np.int64))
+    assert best.best[0][1].tolist() == [3]
+
+
 def test_chat(spark, empty):
     rng = np.random.default_rng(1)
     odd = ["</s>[INST] ok [/INST]", "a\\", "\\<s>", "", None, "[ROLE=x] y [/ROLE]", " </s>", "b " * 300, "é😀\n "]
