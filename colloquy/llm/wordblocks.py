@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import scratch_path
+from colloquy.llm._shared import scratch_path, scratch_table
 
 #: Bytes of text, and distinct words, after which a block is closed.
 BLOCK_BYTES, BLOCK_WORDS = 16_000_000, 1_000_000
+#: Bytes of input for each bucket, at most: a bucket's share of all blocks' words is held by one task.
+BUCKET_BYTES = 64_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -154,14 +156,22 @@ def _arrow(spark, schema: str) -> pa.Schema:  # noqa: ANN001
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets follow the size of the input that the plan knows of, and are no fewer than the shuffle partitions."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-known // BUCKET_BYTES)) if known < 1 << 60 else least
+
+
 def build(docs: DataFrame, key: Column, text: Column, flag: Column, *, lower: bool = False, label: str = "blocks", block_bytes: int = BLOCK_BYTES) -> Blocks:
     """Write docs as blocks. flag marks the documents whose words `counts` counts; a null flag is false.
 
     Words lie between ASCII white space; lower puts A-Z in lower case. A null text has no words. Every row has its
-    place, in no particular order; keys may repeat or be null. An empty table gives no blocks.
+    place, in no particular order; keys may repeat or be null. An empty table gives no blocks. A text is in one block
+    whole, so a task needs memory for the longest text; blocks number the data's size over block_bytes.
     """
     spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = bucket_count(docs)
     rows = docs.select(key.alias("key"), text.cast("string").cast("binary").alias("text"), F.coalesce(flag, F.lit(False)).alias("flag"))
     key_type = rows.schema["key"].dataType.simpleString()
     schema = f"block long, keys array<{key_type}>, sizes array<int>, flags array<boolean>, tokens binary, ranks binary, words array<binary>, counts array<binary>, n_words int"
@@ -183,5 +193,6 @@ def build(docs: DataFrame, key: Column, text: Column, flag: Column, *, lower: bo
             yield pa.RecordBatch.from_pylist([now.row()], schema=arrow)
 
     name = f"colloquy_{label}_{uuid.uuid4().hex}"
-    rows.mapInArrow(blocks, schema).write.bucketBy(n_buckets, "block").option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    scratch_table(name)
+    rows.mapInArrow(blocks, schema).write.bucketBy(min(n_buckets, 100_000), "block").option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
     return Blocks(spark.table(name), n_buckets, key_type)
