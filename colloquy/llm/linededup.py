@@ -1,27 +1,31 @@
 """Line dedup with a suffix array over line-id sequences.
 
-A document is a sequence of line ids. Prefix doubling sorts its suffixes: level 1 ranks a suffix by its first line, and
-level 2k by the pair of the level-k ranks at its place and k places on. Suffixes whose rank is theirs alone share no
-longer prefix with any other and drop out. Once the level reaches min_lines, the suffixes of one rank are one
-longest-common-prefix interval of at least min_lines: a run of lines that occurs more than once. The first in
-document order stays. Intervals that overlap in a document join to the maximal repeated runs, and their lines go.
-Doubling further would only split intervals that already agree on all lines that decide.
-
-Ranks come from a range-sorted table of the distinct pairs with their counts, so a pair shared by very many suffixes
-is one row of it, and each task adds its offset to what its own range holds.
+A document is a sequence of lines. Prefix doubling sorts its suffixes: the first level ranks a suffix by its first line,
+the next by the pair of ranks at its place and one level's length on, or by the document's end there. Ranks come from a
+range-sorted table of the distinct pairs with their counts, so a pair shared by very many suffixes is one row of it, and
+each task adds its offset to what its own range holds. Suffixes whose rank is theirs alone share no longer prefix with
+any other and drop out, those whose document ends keep their rank; doubling stops when none is left.
+
+All suffixes of one rank are a longest-common-prefix interval: a run of lines that occurs more than once. The first of
+an interval in document order is where its run comes from. For each suffix the longest interval that has an earlier first
+gives the source, and comparing ranks level by level downwards, as far as both agree, gives the length of the common
+prefix of the two: a maximal repeated run. In each document the later copies are deleted from left to right; of
+copies that overlap, the one that begins first goes, and the next begins after it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.llm._shared import stored
+from colloquy.llm._shared import spare, stored
+
+_PLACE = ("doc", "copy", "at")
 
 
 def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs (keys, n) with `new`, their rank: the number of suffixes whose key is smaller. The driver sees one sum for each task."""
+    """pairs (keys, n) with `new`, their rank: the number of suffixes whose key is smaller. No task sees more than one sum for each other one."""
     ordered = stored(pairs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()), "line-pairs")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("s"))
     offset = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("offset"))
@@ -29,58 +33,122 @@ def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.join(F.broadcast(offset), "part").select(*keys, "n", (F.col("offset") + within).alias("new"))
 
 
-def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, copy, at, rank): the suffixes whose first min_lines lines occur more than once, and their rank."""
+def _line_key(line: Column) -> Column:
+    """128 bits of a line: lines are the same when these are."""
+    return F.unhex(F.md5(line))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """(doc, copy, at, rest, line) for each line of each different document: its place, lines from there on, and key."""
     text = F.col(text_col)
-    lines = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode(F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))).alias("at", "rank"))
-    # level 1: suffixes with a first line of their own drop out at once
-    usual = lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    level, size = stored(lines.join(usual, "rank").distinct(), "line-ranks"), 1
-    while size < min_lines:
-        step = min(size, min_lines - size)
+    parts = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("copy"), F.split(text, "\n", -1).alias("all"))
+    rows = parts.select("doc", "copy", F.size("all").alias("n"), F.posexplode(F.transform("all", key or _line_key)).alias("at", "line"))
+    return rows.where("line IS NOT NULL").select("doc", "copy", "at", (F.col("n") - F.col("at")).alias("rest"), "line")
+
+
+def suffix_ranks(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, DataFrame]]:
+    """[(size, table)]: for growing sizes (doc, copy, at, rest, rank, new) of suffixes that share `size` lines, or all to their documents' ends, with another.
+
+    Suffixes of one rank agree. `new` marks those that the level ranked; the others had ended before and keep their rank.
+    """
+    lines = _lines(docs, id_col, text_col)
+    usual = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
+    named = _ranked(usual, ["line"]).select("line", F.col("new").alias("rank"))
+    # rows of the same id and text are one document, so a line may be left with one place only
+    level = stored(lines.join(named, "line").select(*_PLACE, "rest", "rank", F.lit(True).alias("new")).distinct(), "line-ranks")
+    levels, size = [(1, level)], 1
+    while True:
+        step = min(size, min_lines - size) if size < min_lines else size
         further = Window.partitionBy("doc", "copy").orderBy("at").rangeBetween(step, step)
-        pairs = level.withColumn("next", F.first("rank").over(further)).where("next IS NOT NULL")
+        ahead = level.withColumn("next", F.when(F.col("rest") > step, F.first("rank").over(further)).otherwise(-1))
+        # a rank below -1 is one that an ended suffix has kept, by level
+        ended = level.where(F.col("rest") < size).withColumns({"rank": F.when(F.col("new"), -2 - F.col("rank") * 64 - len(levels)).otherwise(F.col("rank")), "new": F.lit(False)})
+        pairs = ahead.where((F.col("rest") >= size) & F.col("next").isNotNull()).select(*_PLACE, "rest", "rank", "next")
         named = _ranked(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"]).where("n > 1")
-        level = stored(pairs.join(named.select(F.col("rank").alias("_rank"), F.col("next").alias("_next"), "new"), (F.col("rank") == F.col("_rank")) & (F.col("next") == F.col("_next"))).select("doc", "copy", "at", F.col("new").alias("rank")), "line-ranks")
+        grown = pairs.join(named.select(F.col("rank").alias("_rank"), F.col("next").alias("_next"), F.col("new").alias("_new")), (F.col("rank") == F.col("_rank")) & (F.col("next") == F.col("_next")))
+        level = stored(grown.select(*_PLACE, "rest", F.col("_new").alias("rank"), F.lit(True).alias("new")).unionByName(ended), "line-ranks")
+        if level.where("new").isEmpty():
+            return levels
         size += step
-    return level
-
+        levels.append((size, level))
 
-def _long_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, copy, at, rank): lines of min_words words or more that occur more than once; rank is the line's hash."""
-    line = F.transform(F.split(text_col, "\n", -1), lambda x: F.when(F.regexp_count(x, F.lit(r"\S+")) >= min_words, F.xxhash64(x)))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.posexplode(line).alias("at", "rank")).where("rank IS NOT NULL")
-    usual = lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    return stored(lines.join(usual, "rank").distinct(), "line-singles")
 
+def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, copy, at, len, source): the maximal run of min_lines lines or more at each place that occurs earlier, and where its source begins.
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `n_lines`, `n_removed` and the text less its lines in later copies of runs of min_lines lines or more.
-
-    Lines are what lies between line feeds, compared by 64-bit hash. A run's first occurrence, by id (nulls first) and
-    place, stays, and of a run that overlaps itself in a document the first min_lines lines do. Every row comes back: a text
-    all of whose lines go is empty, a null text stays null and has no lines. Rows with the same id and text are the same
-    document: they are no copies of each other and lose the same lines. Rows with one id and different texts are different
-    documents, in the order of their texts' hashes. An empty table gives an empty one. With min_words, later copies of single
-    lines of that many words or more go too, whatever stands around them.
+    The source is the first place of the longest interval of doubled length that has an earlier place. A source in the same
+    document ends before its copy begins.
     """
-    own = ["n_lines", "n_removed", "_lines", "_doc", "_copy"]
-    place = F.struct("doc", "copy", "at")
+    levels = suffix_ranks(docs, min_lines=min_lines, id_col=id_col, text_col=text_col)
+    place = F.struct(*_PLACE)
+    source = F.col("source")
+    inside = F.col("doc").eqNullSafe(source["doc"]) & (F.col("copy") == source["copy"])
+    found = None
+    for n, (size, level) in enumerate(levels):
+        if size < min_lines:
+            continue
+        own = level.where("new")
+        first = own.groupBy("rank").agg(F.min(place).alias("source"))
+        agreed = F.least(F.lit(size), F.col("rest"))
+        later = own.join(first, "rank").where((agreed >= min_lines) & (place > source) & (~inside | (source["at"] + agreed <= F.col("at"))))
+        later = later.select(*_PLACE, "rest", F.struct(F.lit(n).alias("level"), agreed.alias("len"), "source").alias("top"))
+        found = later if found is None else found.unionByName(later)
+    if found is None:
+        return levels[0][1].where("false").select(*_PLACE, F.lit(0).alias("len"), place.alias("source"))
+    runs = stored(found.groupBy(*_PLACE, "rest").agg(F.max("top").alias("top")).select(*_PLACE, "rest", "top.level", "top.len", "top.source"), "line-runs")
+    for n in reversed(range(len(levels) - 1)):
+        # further lines on which the run and its source agree, for runs whose own level is above this one
+        open_ = runs.where((F.col("level") > n) & (F.col("len") < F.col("rest")))
+        ranks = levels[n][1].select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("at").alias("_at"), F.col("rest").alias("_rest"), F.col("rank").alias("_rank"))
+        here = open_.join(ranks, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("at") + F.col("len") == F.col("_at")))
+        here = here.select(*_PLACE, "len", "source", F.col("_rest").alias("left"), F.col("_rank").alias("mine"))
+        both = here.join(ranks, source["doc"].eqNullSafe(F.col("_doc")) & (source["copy"] == F.col("_copy")) & (source["at"] + F.col("len") == F.col("_at")) & (F.col("mine") == F.col("_rank")))
+        more = both.select(F.col("doc").alias("d"), F.col("copy").alias("c"), F.col("at").alias("a"), F.least(F.lit(levels[n][0]), F.col("left")).alias("more"))
+        grown = runs.join(more, F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("at") == F.col("a")), "left")
+        runs = stored(grown.withColumn("len", F.col("len") + F.coalesce("more", F.lit(0))).drop("d", "c", "a", "more"), "line-runs")
+    length = F.when(inside, F.least(F.col("len"), F.col("at") - source["at"])).otherwise(F.col("len"))
+    return runs.select(*_PLACE, length.alias("len"), "source")
+
+
+def _single_lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, copy, at, len): later copies of lines of min_words words or more."""
+    key = lambda x: F.when(F.regexp_count(x, F.lit(r"\S+")) >= min_words, _line_key(x))
+    lines = _lines(docs, id_col, text_col, key)
+    place = F.struct(*_PLACE)
+    first = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("source")).where("n > 1")
+    return lines.join(first, "line").where(place > F.col("source")).select(*_PLACE, F.lit(1).alias("len")).distinct()
 
-    def later(level: DataFrame) -> DataFrame:
-        first = level.groupBy("rank").agg(F.min(place).alias("first"))
-        return level.join(first, "rank").where(place > F.col("first"))
 
-    runs = later(repeated_runs(docs, min_lines=min_lines, id_col=id_col, text_col=text_col))
-    lines = runs.select("doc", "copy", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("line"))
+def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with `n_lines`, `n_removed` and the text less its later copies of maximal repeated runs of min_lines lines or more.
+
+    Lines are what lies between line feeds. In each document, from left to right: where a run of repeated_runs() begins
+    that does not overlap the one deleted before it, its lines go. A run's first occurrence, by id (nulls first) and place,
+    stays whole; a run that overlaps its own source counts as far as the two do not overlap, so of `a a a a` two lines
+    stay. Every row comes back: a text all of whose lines go is empty, a null text stays null and has no lines. Rows with
+    the same id and text are the same document: they are no copies of each other and lose the same lines. Rows with one id
+    and different texts are different documents, in the order of their texts' hashes. An empty table gives an empty one.
+    Ids may be of any type that can be ordered. Columns named n_lines or n_removed are replaced, others may have any name.
+    With min_words, later copies of single lines of that many words or more go too, whatever stands around them.
+    """
+    runs = repeated_runs(docs, min_lines=min_lines, id_col=id_col, text_col=text_col)
+    run = F.struct("at", "len")
+    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len")))
+    parsed = F.aggregate(F.array_sort(F.collect_list(run)), none, lambda kept, x: F.when(x["at"] >= F.element_at(kept, -1)["at"] + F.element_at(kept, -1)["len"], F.concat(kept, F.array(x))).otherwise(kept))
+    gone = runs.groupBy("doc", "copy").agg(parsed.alias("runs"))
     if min_words is not None:
-        lines = lines.unionByName(later(_long_lines(docs, min_words, id_col, text_col)).select("doc", "copy", F.col("at").alias("line")))
-    gone = lines.groupBy("doc", "copy").agg(F.collect_set("line").alias("gone"))
-    # split before the join, so that it is done once a row
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.split(text_col, "\n", -1).alias("_lines"), F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_copy"))
-    rows = rows.drop(text_col).join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_copy") == F.col("copy")), "left").drop("doc", "copy")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone"), lambda i: F.col("_lines")[i])
-    text = F.array_join(F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(kept), "\n")
-    out = rows.withColumn(text_col, text).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_removed")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+        single = _single_lines(docs, min_words, id_col, text_col).groupBy("doc", "copy").agg(F.collect_list(run).alias("runs"))
+        gone = gone.unionByName(single).groupBy("doc", "copy").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    own = ("n_lines", "n_removed")
+    all_, doc, copy, lost, key, text_hash = spare(docs.columns, "lines", "doc", "copy", "gone", "key", "hash")
+    numbers = F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda x: x["len"] > 0), lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
+    gone = gone.select(F.col("doc").alias(doc), F.col("copy").alias(copy), numbers.alias(lost))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.col(id_col).alias(key), F.xxhash64(text_col).alias(text_hash))
+    rows = rows.join(gone, F.col(key).eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(copy)), "left").withColumn(all_, F.split(text_col, "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), lost), lambda i: F.col(all_)[i])
+    none_gone = F.col(lost).isNull() | F.col(text_col).isNull()
+    out = rows.withColumns({
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_)).cast("long"), "n_removed": F.when(none_gone, 0).otherwise(F.size(lost)).cast("long"),
+        text_col: F.when(none_gone, F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+    })
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], *own)

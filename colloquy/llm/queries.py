@@ -36,7 +36,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.format_windows(turns.unionByName(own)))
+    return chat.digests(chat.format_windows(turns.unionByName(own), tokenizer=bpe.vocabulary("word_bpe_49k.json")))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,21 +92,40 @@ ORACLES: dict[str, str] = {
         FROM d LEFT JOIN gone USING (doc_id)
     """,
     "op1_line_dedup": """
-        WITH e AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
-            FROM documents
-        ), w AS (
-            SELECT doc_id, place, line, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS next_line FROM e
+        WITH d AS (
+            SELECT doc_id, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL
+        ), sizes AS (
+            SELECT CAST(2 ** i AS BIGINT) AS size FROM range(1, 31) t(i) WHERE 2 ** (i - 1) < (SELECT max(n) FROM d)
+        ), p AS (
+            SELECT doc_id, unnest(range(1, n + 1)) AS place, lines, n FROM d
+        ), r AS (
+            -- every run of 2, 4, 8 ... lines, or to the document's end, and the first place where it occurs
+            SELECT doc_id, place, size, least(size, n - place + 1) AS agreed,
+                   min(doc_id * 1000000 + place) OVER (PARTITION BY size, lines[place:place + size - 1]) AS first
+            FROM p, sizes WHERE size < 2 * (n - place + 1) OR size = 2
+        ), s AS (
+            SELECT doc_id, place, arg_max(first, size) AS first FROM r
+            WHERE agreed >= 2 AND (first // 1000000 < doc_id OR first // 1000000 = doc_id AND first % 1000000 + agreed <= place)
+            GROUP BY doc_id, place
+        ), c AS (
+            -- how far the run and its source agree, without overlap
+            SELECT s.doc_id, s.place, s.first % 1000000 AS from_place, s.first // 1000000 AS from_doc,
+                   coalesce(list_position(list_transform(range(0, a.n - s.place + 1), lambda i: a.lines[s.place + i] IS NOT DISTINCT FROM b.lines[s.first % 1000000 + i]), false) - 1, a.n - s.place + 1) AS shared
+            FROM s JOIN d a ON a.doc_id = s.doc_id JOIN d b ON b.doc_id = s.first // 1000000
+        ), m AS (
+            SELECT doc_id, place, CASE WHEN from_doc = doc_id THEN least(shared, place - from_place) ELSE shared END AS size FROM c
         ), k AS (
-            SELECT doc_id, place, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, place) AS nth
-            FROM w WHERE next_line IS NOT NULL
-        ), gone AS (
-            SELECT doc_id, place FROM k WHERE nth > 1 UNION SELECT doc_id, place + 1 FROM k WHERE nth > 1
+            -- from left to right, each run that does not overlap the one before
+            SELECT doc_id, list_reduce(list_prepend([{'place': 0::BIGINT, 'size': 0::BIGINT}], list([{'place': place::BIGINT, 'size': size::BIGINT}] ORDER BY place)),
+                   lambda kept, x: CASE WHEN x[1].place >= kept[-1].place + kept[-1].size THEN list_concat(kept, x) ELSE kept END) AS runs
+            FROM m GROUP BY doc_id
+        ), g AS (
+            SELECT doc_id, flatten(list_transform(runs, lambda x: range(x.place, x.place + x.size))) AS gone FROM k
         )
-        SELECT e.doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
-               sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.place) FILTER (gone.place IS NULL), '')) AS kept_sha256
-        FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.place = gone.place
-        GROUP BY e.doc_id
+        SELECT o.doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed,
+               CASE WHEN o.text IS NOT NULL THEN sha256(CASE WHEN g.gone IS NULL THEN o.text
+                   ELSE array_to_string(list_filter(d.lines, lambda x, i: NOT list_contains(g.gone, i)), chr(10)) END) END AS kept_sha256
+        FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN g USING (doc_id)
     """,
     "op4_exact_topk": """
         WITH v AS (
