@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Words are split in Spark, each distinct word is encoded once in the bucket of the corpus-wide word table that it
-belongs to, and ids are joined back by position within each block. Decoding joins ids with the pieces of the
-vocabulary. White space never lies within a token of this kind of vocabulary, and normalisation does not reach
-across it, so a text's ids are its words' ids one after the other.
+Words are split in Spark tasks, each distinct word is encoded once in the bucket of the corpus-wide word table that it
+belongs to, and ids are joined back by position within each block. Decoding joins ids with the vocabulary's
+table of pieces: encode_decode() joins each block's ids of distinct words with it in Arrow, decode() is the same join
+for any table of id lists, as a Spark join. White space never lies within a token of this kind of vocabulary, and
+normalisation does not reach across it, so a text's ids are its words' ids one after the other.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import wordblocks
+from colloquy.llm._shared import spare
 from colloquy.llm.wordblocks import pack, unpack
 
 _loaded: dict = {}
@@ -42,10 +45,35 @@ def _tokenizer(path: str):  # noqa: ANN202
         if tok.decoder is not None:
             raise ValueError("pieces are joined by a space only where the tokenizer has no decoder of its own")
         size = max(tok.get_vocab().values()) + 1
-        _loaded[path] = tok, [(tok.id_to_token(i) or "").encode() for i in range(size)]
+        _loaded[path] = tok, pa.array([(tok.id_to_token(i) or "").encode() for i in range(size)], pa.large_binary())
     return _loaded[path]
 
 
+def tokenizer(path: str):  # noqa: ANN201
+    return _tokenizer(path)[0]
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the vocabulary, as many rows as it has entries."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(_tokenizer(path)[1])), pa.int32()), "piece": _tokenizer(path)[1].cast(pa.large_string())}))
+
+
+def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """rows with the text of each list of ids, special tokens kept: a join of ids with pieces.
+
+    Each different list is decoded once. An empty list is an empty text, a null one null; an id that the vocabulary has not
+    is left out. The broadcast side has the vocabulary's size. A column of the given name is replaced.
+    """
+    plain = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() != name.lower()])
+    lists = plain.where(F.size(ids_col) > 0).select(F.col(ids_col).alias("ids")).distinct()
+    named = lists.select("ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(rows.sparkSession, path)), "id")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ")
+    key, text = spare(plain.columns, "ids", "text")
+    texts = named.groupBy("ids").agg(said.alias(text)).withColumnRenamed("ids", key)
+    out = plain.join(texts, F.col(ids_col) == F.col(key), "left")
+    return out.select(*[F.col(f"`{c}`") for c in plain.columns], F.when(F.col(ids_col).isNotNull(), F.coalesce(text, F.lit(""))).alias(name))
+
+
 def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words in a row, and the number of ids of each word."""
     tok, _ = _tokenizer(path)
@@ -87,15 +115,16 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     answers = blocks.look_up(_answers(path), "block long, bucket int, ids binary, sizes binary")
 
     def finish(row: dict, got: dict[str, list]) -> Iterator[pa.Table]:
-        pieces = _tokenizer(path)[1]
+        table = _tokenizer(path)[1]
         raw, shown, count = [], [], []
         for ids, sizes in zip(got["ids"], got["sizes"], strict=True):
             own, n = unpack(ids, np.uint32), unpack(sizes, np.uint32).astype(np.int64)
-            data, named, ends = own.astype("<u4").tobytes(), [pieces[i] for i in own.tolist()], np.cumsum(n).tolist()
-            begin = 0
-            for end in ends:
+            # ids with their pieces, then the pieces of each word together
+            named = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(n)], table.take(pa.array(own.astype(np.int64))))
+            shown += pc.binary_join(named, pa.scalar(b" ", pa.large_binary())).to_pylist()
+            data, begin = own.astype("<u4").tobytes(), 0
+            for end in np.cumsum(n).tolist():
                 raw.append(data[4 * begin : 4 * end])
-                shown.append(b" ".join(named[begin:end]))
                 begin = end
             count.append(n)
         has_ids = np.concatenate([*count, np.empty(0, np.int64)]) > 0

@@ -1,8 +1,8 @@
 """Chat formatting into budgeted windows.
 
 A conversation becomes windows of whole turns. Prefix sums of the turns' tokens choose the spans; each later
-window opens with the system turn and the last turns of the window before it, as far as the history budget
-goes. The loss mask covers each assistant text once: repeated turns are masked.
+window opens with the system turn, where it leaves room for the next turn, and the last turns of the window before
+it, as far as the history budget goes. The loss mask covers each assistant text once: repeated turns are masked.
 
 Template: `<s>` opens a window; `[SYS] text [/SYS]`, `[INST] text [/INST]`, ` text </s>` for system, user and
 assistant; `[ROLE=name] text [/ROLE]` for any other role. In texts and role names a backslash goes before
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import bpe
+
 WINDOWS = "conv_id long, window int, text string, loss_starts array<int>, loss_ends array<int>, first_turn long, n_turns int, n_repeated int, n_tokens long"
 _TO_ESCAPE, _ESCAPED = re.compile(r"[\\\[<]"), re.compile(r"\\(.)", re.S)
 _CONTROL = re.compile(r"\\.|( \[/SYS\]| \[/INST\]| \[/ROLE\]| </s>)", re.S)
@@ -72,14 +74,14 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 192, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 192, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Windows of at most `budget` tokens, of which at most `history` repeat the end of the window before.
 
-    Tokens are words between white space, plus MARKERS a turn. A turn longer than the budget has a window of its
-    own, whole. Turns go by turn number, then role and text; nulls come first. A null role or text is empty; a
+    Tokens are those of the tokenizer file, or else words between white space, plus MARKERS a turn. Only a turn longer
+    than the budget makes a window longer than that: it has a window of its own, whole and without repeated turns. Turns go by turn number, then role and text; nulls come first. A null role or text is empty; a
     null id is a conversation like any other; repeated rows are turns of their own. An empty table gives no rows.
     Turns stream through a task in order with one window in memory, so the longest conversation needs no more
-    memory than the shortest. Windows of a conversation stay in order within their partition.
+    memory than the shortest. Ids and turns are cast to long. Other columns are not read and may have any name.
     """
     plain = turns.select(
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -88,7 +90,7 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 192,
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for row in _windows(((c, r, t) for b in batches for c, r, t in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True)), budget, history):
+        for row in _windows(_measured(batches, tokenizer), budget, history):
             rows.append(row)
             size += len(row["text"])
             if size > 4_000_000:
@@ -103,20 +105,33 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 192,
 _SCHEMA = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("loss_starts", pa.list_(pa.int32())), ("loss_ends", pa.list_(pa.int32())), ("first_turn", pa.int64()), ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("n_tokens", pa.int64())])
 
 
+def _measured(batches: Iterator[pa.RecordBatch], tokenizer: str | None) -> Iterator[tuple]:
+    """(conv_id, role, text, tokens) of every turn."""
+    for batch in batches:
+        for s in range(0, len(batch), 1000):
+            part = batch.slice(s, 1000)
+            conv, role, text = (part.column(n).to_pylist() for n in ("conv_id", "role", "text"))
+            if tokenizer is None:
+                sizes = [len(t.split()) for t in text]
+            else:
+                sizes = [len(e.ids) for e in bpe.tokenizer(tokenizer).encode_batch_fast(text, add_special_tokens=False)]
+            yield from zip(conv, role, text, [n + MARKERS for n in sizes], strict=True)
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def _windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[dict]:
-    """turns: (conv_id, role, text) with those of a conversation together and in order."""
+    """turns: (conv_id, role, text, tokens) with those of a conversation together and in order."""
     conv, number, seen, system = object(), 0, 0, None
-    own: list[tuple[str, str]] = []  # turns of the open window, repeated ones first
+    own: list[tuple[str, str, int]] = []  # turns of the open window, repeated ones first
     prefix = [0]
     repeated = 0
 
     def closed() -> dict:
         parts, starts, ends, at = ["<s>"], [], [], 3
-        for n, (role, text) in enumerate(own):
+        for n, (role, text, _) in enumerate(own):
             out, begin = render(role, text)
             if role == "assistant" and n >= repeated:
                 starts.append(at + begin)
@@ -125,27 +140,26 @@ def _windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[dict
             at += len(out)
         return {"conv_id": conv, "window": number, "text": "".join(parts), "loss_starts": starts, "loss_ends": ends, "first_turn": seen - (len(own) - repeated), "n_turns": len(own), "n_repeated": repeated, "n_tokens": prefix[-1]}
 
-    for cid, role, text in turns:
-        cost = len(text.split()) + MARKERS
+    for cid, role, text, cost in turns:
         if cid != conv:
             if own:
                 yield closed()
             conv, number, seen, system, own, prefix, repeated = cid, 0, 0, None, [], [0], 0
-        elif len(own) > repeated and prefix[-1] + cost > budget:
+        elif prefix[-1] + cost > budget:
             yield closed()
             number += 1
-            kept = [system] if system else []
-            room = budget - cost - sum(len(t.split()) + MARKERS for _, t in kept)
+            kept = [system] if system and system[2] + cost <= budget else []
+            room = min(history, budget - cost - sum(n for _, _, n in kept))
             # the shortest prefix to leave out so that the rest fits the history and the window
-            first = bisect_left(prefix, prefix[-1] - max(0, min(history, room)))
-            tail = [t for n, t in enumerate(own[first:], first) if not (system and n == 0)]
-            own = kept + tail
+            first = bisect_left(prefix, prefix[-1] - max(0, room))
+            own = kept + [t for t in own[first:] if t is not system]
             repeated, prefix = len(own), [0]
-            for _, t in own:
-                prefix.append(prefix[-1] + len(t.split()) + MARKERS)
+            for _, _, n in own:
+                prefix.append(prefix[-1] + n)
+        turn = (role, text, cost)
         if seen == 0 and role == "system":
-            system = (role, text)
-        own.append((role, text))
+            system = turn
+        own.append(turn)
         prefix.append(prefix[-1] + cost)
         seen += 1
     if own:
@@ -153,7 +167,10 @@ def _windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[dict
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """Read the formatted windows back: per conversation its turns and what lies under the loss mask."""
+    """Read the formatted windows back: per conversation its turns and what lies under the loss mask.
+
+    Windows may come in any order and splits; those of a conversation are put in the order of their numbers.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, done = object(), None, []
@@ -181,7 +198,8 @@ def digests(windows: DataFrame) -> DataFrame:
         if done:
             yield _digest_batch(done)
 
-    return windows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    dealt = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return dealt.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def _digest_batch(done: list[dict]) -> pa.RecordBatch:
