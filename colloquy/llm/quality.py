@@ -1,8 +1,8 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 Preference pairs say that a document labelled 1 is better than one labelled 0. The chance that a is preferred to b
-is the logistic function of w . (x_a - x_b), where x are features of the whole text; w minimises the logistic loss
-over pairs. A quantile of the training scores is the threshold, and scores are moved so that it lies at 0.7.
+is the logistic function of w . (x_a - x_b), where x are features of the whole text: hashed words and character
+trigrams, and numbers of its form; w minimises the logistic loss over pairs. A quantile of the training scores is the threshold, and scores are moved so that it lies at 0.7.
 """
 
 from __future__ import annotations
@@ -23,6 +23,35 @@ _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK = np.isin(np.arange(256), list(_MARKS))
 
 
+#: Buckets for words and for character trigrams; bytes that are hashed at once.
+WORDS = TRIGRAMS = 192
+_PIECE = 1 << 20
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[_DIGIT] = ord("0")
+_FOLD[_SPACE] = 32
+_POWERS = np.array([pow(0x9E3779B1, n, 1 << 32) for n in range(64)], np.uint32)
+
+
+def _buckets(hashed: np.ndarray, n: int) -> np.ndarray:
+    mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(2654435761)
+    return np.bincount((mixed >> np.uint32(16)) % np.uint32(n), minlength=n)
+
+
+def grams(raw: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed words and of hashed trigrams, white space and digits alike; a long text is hashed in pieces."""
+    words, runs = np.zeros(WORDS), np.zeros(TRIGRAMS)
+    for s in range(0, len(raw), _PIECE):
+        b = _FOLD[np.frombuffer(raw, np.uint8, min(_PIECE, len(raw) - s), s)]
+        if len(b) > 2:
+            runs += _buckets(b[:-2] * np.uint32(0x85EBCA6B) + b[1:-1] * np.uint32(0xC2B2AE35) + b[2:], TRIGRAMS)
+        inside = b != 32
+        starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+        if len(starts):
+            at = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)])) if starts[0] == 0 else np.arange(len(b)) - np.r_[np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.r_[starts, len(b)]))]
+            words += _buckets(np.add.reduceat(np.where(inside, b * _POWERS[at & 63], 0).astype(np.uint32), starts), WORDS)
+    return np.sqrt(np.r_[words / max(words.sum(), 1), runs / max(runs.sum(), 1)])
+
+
 def features(text: str | None) -> list[float]:
     """Numbers that describe a text's form: case, marks, repetition, word and line lengths."""
     raw = (text or "").encode("utf-8", "replace")
@@ -47,7 +76,10 @@ def features(text: str | None) -> list[float]:
 
 
 def _matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([features(t) for t in texts], np.float64)
+    return np.array([np.r_[features(t), grams((t or "").encode("utf-8", "replace"))] for t in texts], np.float32)
+
+
+_D = len(features("")) + WORDS + TRIGRAMS
 
 
 class Model:
@@ -63,21 +95,25 @@ class Model:
         return np.where(z >= 0, np.maximum(out, CUT), np.minimum(out, np.nextafter(CUT, 0)))
 
 
-def train(x: np.ndarray, y: np.ndarray, n_pairs: int, decay: float = 1e-3, steps: int = 25) -> Model:
+def train(x: np.ndarray, y: np.ndarray, n_pairs: int, decay: float = 3e-3, steps: int = 25) -> Model:
     """Without rows of both labels there is no pair: every score is the threshold's, and nothing is rejected."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    d = len(features(""))
+    d = _D
     if not len(good) or not len(bad):
         return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - mean) / scale, -8, 8)
+    mean, scale = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-6)
+    z = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
     draw = np.random.default_rng(0)
-    diff = z[draw.choice(good, n_pairs)] - z[draw.choice(bad, n_pairs)]
+    better, worse = draw.choice(good, n_pairs), draw.choice(bad, n_pairs)
     w = np.zeros(d)
-    for _ in range(steps):  # Newton's method on the mean logistic loss
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -500, 500)))
-        grad = decay * w - diff.T @ (1 - p) / n_pairs
-        step = np.linalg.solve(decay * np.eye(d) + (diff * (p * (1 - p))[:, None]).T @ diff / n_pairs, grad)
+    for _ in range(steps):  # Newton's method on the mean logistic loss, some pairs at a time
+        grad, curve = decay * w, decay * np.eye(d)
+        for s in range(0, n_pairs, 4096):
+            diff = z[better[s : s + 4096]] - z[worse[s : s + 4096]]
+            p = 1 / (1 + np.exp(-np.clip(diff @ w, -500, 500)))
+            grad -= diff.T @ (1 - p) / n_pairs
+            curve += (diff * (p * (1 - p)).astype(np.float32)[:, None]).T @ diff / n_pairs
+        step = np.linalg.solve(curve, grad)
         w -= step / max(1.0, float(np.linalg.norm(step)) / 5)
         if float(np.abs(step).max()) < 1e-6:
             break
@@ -92,11 +128,12 @@ def train(x: np.ndarray, y: np.ndarray, n_pairs: int, decay: float = 1e-3, steps
     return Model(mean, scale, w, cut, 1 / max(float(raw.std()), 1e-9))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, *, max_train: int = 20000, n_pairs: int = 100000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, *, max_train: int = 20000, n_pairs: int = 40000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most max_train labelled rows, those whose hashed ids are least.
 
     train_on is a condition on the id column of labels; rows that it excludes are not looked at. Rows with a null
-    id or label, or a label that is neither 0 nor 1, are left out.
+    id or label, or a label that is neither 0 nor 1, are left out. Without rows of both labels every score is the
+    threshold's. Of docs and labels only the named columns are read; others may have any name.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     own = own if train_on is None else own.where(train_on)
@@ -106,17 +143,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, *, m
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
-    got = rows.mapInArrow(measure, "id string, y int, x array<double>").orderBy("id", "y", "x").toArrow().to_pydict()
-    return train(np.array(got["x"], np.float64).reshape(len(got["y"]), len(features(""))), np.array(got["y"]), n_pairs)
+    got = rows.mapInArrow(measure, "id string, y int, x binary").orderBy("id", "y", "x").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, _D)
+    return train(x, got["y"].to_numpy(), n_pairs)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every row; 0.7 and more is accepted.
 
-    Scores depend on the whole text only. A null text scores as an empty one. Repeated rows score alike.
+    Scores depend on the whole text only. A null text scores as an empty one. Repeated rows score alike. An empty table
+    stays empty. A column of docs with the given name is replaced, others may have any name.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
