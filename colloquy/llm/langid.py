@@ -8,7 +8,6 @@ one-versus-rest kernel ridge regression is solved on those. Scoring is one matri
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.llm._shared import spare
+
 BITS = 1 << 14
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _BATCH = 128
 #: Bytes of a long text that are hashed at once; the presence bits of its parts are joined.
@@ -26,7 +26,7 @@ _PIECE = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and next(filter(str.isalpha, text), None) is not None
 
 
 def presence(text: str, out: np.ndarray) -> None:
@@ -83,29 +83,32 @@ def train(labels: list[str], bits: np.ndarray, n_landmarks: int, ridge: float) -
 
 
 def _sample(docs: DataFrame, train_on: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(key, lang): the rows of each language with the least hash, at most per_language of them."""
-    rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(lang_col).cast("string").alias("lang"))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] = {}
-        for batch in batches:
-            keys, codes = batch.column("key").to_numpy(), batch.column("lang").dictionary_encode()
-            for n, lang in enumerate(codes.dictionary.to_pylist()):
-                own = keys[codes.indices.to_numpy() == n]
-                kept[lang] = np.sort(np.unique(np.concatenate([kept.get(lang, own[:0]), own])))[:per_language]
-        for lang, keys in kept.items():
-            yield pa.RecordBatch.from_pydict({"key": keys, "lang": [lang] * len(keys)})
+    """(key, lang): rows of each language with the least hash, at most per_language of them.
 
+    Hashes are uniform, so counts tell below which hash a language has about twice per_language rows: only those
+    are ranked, and no task sees more of a language however frequent it is.
+    """
+    rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(lang_col).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").count().collect()  # a row for each language, as the model has a column of weights for each
+    if not counts:
+        return rows.where("false")
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, (2 * per_language + 100) / r["count"])))])
+    few = rows.where(F.col("key").cast("double") / 2.0**64 + 0.5 <= below[F.col("lang")]).distinct()
     order = Window.partitionBy("lang").orderBy("key")
-    return rows.mapInArrow(least, "key long, lang string").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("key", "lang").distinct()
+    return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("key", "lang")
 
 
 def fit(docs: DataFrame, train_on: Column, *, per_language: int = 1500, n_landmarks: int = 160, ridge: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most per_language rows of each language, those whose hashed ids are least. Rows that `train_on` excludes are not looked at."""
+    """Fit on at most per_language rows of each language, those whose hashed ids are least. Rows that `train_on` excludes are not looked at.
+
+    Rows with a null text or language teach nothing, nor do texts without a letter. Rows that share an id are taken
+    together. Without rows to learn from every text is `und`. Only the three named columns are read; others may have any name.
+    """
     sample = _sample(docs, train_on, per_language, id_col, text_col, lang_col)
-    chosen = F.broadcast(sample.select(F.col("key").alias("_key"), F.col("lang").alias("_lang")))
+    k, l = spare(docs.columns, "key", "lang")
+    chosen = F.broadcast(sample.select(F.col("key").alias(k), F.col("lang").alias(l)))
     key = F.xxhash64(F.col(id_col).cast("string"))
-    own = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(chosen, (key == F.col("_key")) & (F.col(lang_col) == F.col("_lang")))
+    own = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(chosen, (key == F.col(k)) & (F.col(lang_col).cast("string") == F.col(l)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, train_on: Column, *, per_language: int = 1500, n_landma
                 bits.append(np.packbits(row).tobytes() if has_letter(text) else None)
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "lang": batch.column("lang"), "bits": pa.array(bits, pa.binary())})
 
-    rows = own.select(key.alias("key"), F.col("_lang").alias("lang"), F.col(text_col).alias("text")).mapInArrow(packed, "key long, lang string, bits binary").where("bits IS NOT NULL").orderBy("key", "lang", "bits").toArrow().to_pydict()
+    rows = own.select(key.alias("key"), F.col(l).alias("lang"), F.col(text_col).alias("text")).mapInArrow(packed, "key long, lang string, bits binary").where("bits IS NOT NULL").orderBy("key", "lang", "bits").toArrow().to_pydict()
     bits = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8)).reshape(-1, BITS)
     return train(rows["lang"], bits, n_landmarks, ridge)
 
@@ -124,18 +127,20 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """The id, the columns of `keep`, lang_pred and score (0 to 1) for every row.
 
     A text that is null, empty or without a letter is `und` with score 0, and so is every text when no labelled
-    row was there to learn from. Whole texts count, however long. Repeated rows are answered alike.
+    row was there to learn from. A letter is what str.isalpha says. Whole texts count, however long. Repeated rows are
+    answered alike. An empty table gives no rows. Columns not named are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = {id_col: F.col(id_col)} | (keep or {})
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("_text"))
+    (said,) = spare(list(keep), "text")
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias(said))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         matrix = np.zeros((_BATCH, BITS), np.uint8)
         for batch in batches:
-            texts, lang, value = batch.column("_text"), [], []
+            texts, lang, value = batch.column(said), [], []
             for start in range(0, len(texts), _BATCH):
                 part = texts.slice(start, _BATCH).to_pylist()
                 there = [bool(m.languages) and has_letter(t) for t in part]
