@@ -163,7 +163,7 @@ def _slice_batch(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
 
-def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes: int = 64, n_groups: int = 12, sweeps: int = 12, corpus_sweeps: int = 6, least_gain: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes: int = 64, n_groups: int = 12, sweeps: int = 12, corpus_sweeps: int = 6, least_gain: float = 0.005, id_col: str = "doc_id", text_col: str = "text", keep_classes: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of docs.
 
     Learns from the rows of which train_on is true (a null condition is true: such rows are not held out). Tokens are words
@@ -171,6 +171,7 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
     base_score is the add-half unigram model's log10 probability, score the class model's. Counts and statistics come
     from all training rows, and all training words are clustered: n_words bounds only the table that the clustering starts
     from, corpus_sweeps the sweeps after it, which end once one gains less than least_gain nats a token. Without training rows both models have no word but the unknown one, and N is 0. Repeated rows count and are scored each.
+    With keep_classes also `words`, the text's words, and `classes`, the class of each. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     in_training = F.coalesce(train_on, F.lit(True))
@@ -396,7 +397,7 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
     emit_total = np.log10(np.maximum(sizes + ADD * types, ADD))
     emit_total[total - 1] = np.log10(ends + ADD)  # the end is all that its class has
     base_total = np.log10(train_n + ADD * (train_v + 1))
-    schema = f"doc_id {blocks.key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    schema = f"doc_id {blocks.key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double" + (", words array<string>, classes array<int>" if keep_classes else "")
 
     def finish(row: dict, got: dict[str, list]) -> Iterator[pa.Table]:
         cls = np.concatenate([*(unpack(b, np.uint16) for b in got["cls"]), np.empty(0, np.uint16)]).astype(np.int64)
@@ -411,9 +412,14 @@ def score(docs: DataFrame, train_on: Column, *, n_words: int = 2000, n_classes:
         per_doc = lambda x: np.bincount(doc, weights=x, minlength=n)
         n_tokens = np.array(row["sizes"], np.int64) + 1
         value = per_doc(own[word] + follow[cls[before], c])
+        classes: dict[str, list] = {}
+        if keep_classes:
+            said = [w.decode("utf-8", "replace") for b in row["words"] for w in wordblocks.unpack_words(b)]
+            parts = [word[s : e - 1] for s, e in zip(np.cumsum(n_tokens) - n_tokens, np.cumsum(n_tokens), strict=True)]
+            classes = {"words": [[said[w] for w in p] for p in parts], "classes": [cls[p].astype(np.int32) for p in parts]}
         yield pa.table({
             "doc_id": row["keys"], "held_out": ~np.array(row["flags"], bool), "n_tokens": n_tokens, "n_known": per_doc(count[word] > 0).astype(np.int64),
-            "train_tokens": np.full(n, train_n, np.int64), "base_score": per_doc(base[word]), "score": value, "perplexity": 10 ** np.minimum(-value / n_tokens, 300),
+            "train_tokens": np.full(n, train_n, np.int64), "base_score": per_doc(base[word]), "score": value, "perplexity": 10 ** np.minimum(-value / n_tokens, 300), **classes,
         })
 
-    return blocks.with_answers(answers, finish, schema)
+    return blocks.with_answers(answers, finish, schema, columns=("words",) if keep_classes else ())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.llm._shared import stored
+from colloquy.llm._shared import spare, stored
 from colloquy.llm.components import components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -208,12 +208,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id, with no id only where none has one.
 
-    Of different texts under that id the one with the least hash stays, and of repeated rows one.
+    Of different texts under that id the one with the least hash stays, and of repeated rows one. An empty table stays empty.
+    Other columns are kept and may have any name.
     """
     prints, classes = _classes(docs, width, id_col, text_col)
     first = prints.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "copy", F.col("doc_id").cast("string").alias("s"))).alias("f"))
-    chosen = first.select(F.coalesce("f.s", F.lit("")).alias("_id"), F.col("f.n").alias("_null"), F.col("f.copy").alias("_copy"))
-    key = ["_id", "_null", "_copy"]
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_null": F.col(id_col).isNull(), "_copy": F.xxhash64(text_col)})
-    kept = rows.join(chosen, key).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    return kept.where("_nth = 1").select(*docs.columns)
+    *key, nth = spare(docs.columns, "id", "null", "copy", "nth")
+    chosen = first.select(F.coalesce("f.s", F.lit("")).alias(key[0]), F.col("f.n").alias(key[1]), F.col("f.copy").alias(key[2]))
+    rows = docs.withColumns(dict(zip(key, (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.xxhash64(text_col)), strict=True)))
+    kept = rows.join(chosen, key).withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    return kept.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, quality, simhash, substring, topk
+from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, neardup, quality, simhash, substring, topk, wordblocks
 
 DOCS = "doc_id long, text string, lang string, rank int, block string, n_lines string"
 
@@ -44,31 +44,83 @@ def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
 
 
+def plain_line_dedup(texts, m):
+    """Texts and numbers of removed lines by the definition: sources, common prefixes, copies from left to right."""
+    distinct = sorted({(i is not None, i or 0, xxh(t), t) for i, t in texts if t is not None}, key=lambda r: r[:3])
+    all_ = [t.split("\n") for *_, t in distinct]
+    first, sizes = {}, [m << k for k in range(12)]
+    for d, lines in enumerate(all_):
+        for at in range(len(lines)):
+            for s in sizes:
+                first.setdefault((s, tuple(lines[at : at + s])), (d, at))
+    gone = {}
+    for d, lines in enumerate(all_):
+        drop, end = set(), 0
+        for at in range(len(lines)):
+            source = None
+            for s in sizes:
+                agreed = min(s, len(lines) - at)
+                e, b = first[s, tuple(lines[at : at + s])]
+                if agreed >= m and (e < d or e == d and b + agreed <= at):
+                    source = e, b
+            if source is None or at < end:
+                continue
+            e, b = source
+            size = 0
+            while at + size < len(lines) and b + size < len(all_[e]) and lines[at + size] == all_[e][b + size] and (e < d or b + size < at):
+                size += 1
+            drop |= set(range(at, at + size))
+            end = at + size
+        has, i, _, t = distinct[d]
+        gone[(i if has else None, t)] = drop
+    out = []
+    for i, t in texts:
+        lost = gone.get((i, t), set())
+        out.append((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lost), len(t.split("\n")) if t is not None else 0, len(lost)))
+    return sorted(out, key=repr)
+
+
 def test_line_dedup(docs, empty, texts):
     for m in (1, 2, 3):
-        seen, want = {}, []
-        distinct = sorted({(i is not None, i or 0, xxh(t), t) for i, t in texts if t is not None}, key=lambda r: r[:3])
-        gone = {}
-        for has, i, _, t in distinct:
-            lines, drop = t.split("\n"), set()
-            for at in range(len(lines) - m + 1):
-                run = tuple(lines[at : at + m])
-                if run in seen:
-                    drop |= set(range(at, at + m))
-                seen.setdefault(run, (i, at))
-            gone[(i if has else None, t)] = drop
-        for i, t in texts:
-            if t is None:
-                want.append((i, None, 0, 0))
-            else:
-                lines = t.split("\n")
-                want.append((i, "\n".join(x for n, x in enumerate(lines) if n not in gone[(i, t)]), len(lines), len(gone[(i, t)])))
-        got = rows(linededup.dedup_lines(docs, min_lines=m), "doc_id", "text", "n_lines", "n_removed")
-        assert got == sorted(want, key=repr)
+        assert rows(linededup.dedup_lines(docs, min_lines=m), "doc_id", "text", "n_lines", "n_removed") == plain_line_dedup(texts, m)
     assert linededup.dedup_lines(docs).columns == ["doc_id", "text", "lang", "rank", "block", "n_lines", "n_removed"]
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_first_runs_whole(spark):
+    texts = ["A B", "B C", "A B C", "a a a a", "p q r s t u v", "x p q r s t u v y", "x p q r s t u v y", "q r"]
+    table = spark.createDataFrame([(f"d{i}", t.replace(" ", "\n")) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    got = {r.doc_id: r.text.replace("\n", " ") for r in linededup.dedup_lines(table).collect()}
+    # of two overlapping copies the first goes; a run that overlaps itself stays once, whole
+    assert got == {"d0": "A B", "d1": "B C", "d2": "C", "d3": "a a", "d4": texts[4], "d5": "x y", "d6": "", "d7": ""}
+    rng = np.random.default_rng(8)
+    short = [(int(i), "\n".join(rng.choice(list("ab"), rng.integers(1, 14)))) for i in range(60)]
+    table = spark.createDataFrame(short, "doc_id long, text string").repartition(4)
+    assert rows(linededup.dedup_lines(table), "doc_id", "text", "n_lines", "n_removed") == plain_line_dedup(short, 2)
+
+
+CLASHES = ["doc", "copy", "at", "rest", "line", "len", "source", "gone", "runs", "_lines", "_doc", "_copy", "_gone", "_key", "_hash", "rank", "new", "key", "_text", "leaks", "_leaks", "score", "_score", "_id", "_null", "_nth", "_lang", "fp", "root", "block", "bucket"]
+
+
+def test_extra_columns_keep_their_values(spark):
+    made = [(i, f"some words of text {i % 3}\nand a line {i % 2}\nthird", "en") for i in range(8)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string").withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    bench = spark.createDataFrame([(1, "and a line 1")], "item_id long, text string")
+    model = quality.fit(table, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    outs = [linededup.dedup_lines(table, min_words=3), decontam.with_leaks(table, bench, name="found"), quality.score(table, model, name="value"), simhash.one_of_each(table), neardup.one_of_each(table)]
+    for out in outs:
+        assert out.columns[: len(table.columns)] == table.columns
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in CLASHES)
+    replaced = [quality.score(table, model), decontam.with_leaks(table, bench)]
+    for out, name in zip(replaced, ("score", "leaks"), strict=True):
+        assert sorted(out.columns) == sorted(table.columns) and all(r[name] != f"own {name}" for r in out.collect())
+    assert langid.predict(table, langid.fit(table, F.lit(True))).count() == 8 and simhash.near_duplicates(table).count() == 8
+    assert substring.remove_repeats(table).count() == 8 and classlm.score(table, F.lit(True), n_words=5).count() == 8
+    with pytest.raises(TypeError, match="integer"):
+        substring.remove_repeats(table.withColumn("doc_id", F.lit("a")))
+
+
 def xxh(t):
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
 
@@ -105,6 +157,59 @@ def test_class_lm_exchanges_words_without_frequent_neighbours(spark):
     assert all(r.perplexity < 50 for r in got.collect())
 
 
+def test_class_lm_is_the_plain_model_and_sums_to_one(spark):
+    rng = np.random.default_rng(6)
+    train = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f"], rng.integers(0, 9))) for _ in range(30)]
+    words = ["a", "b", "c", "d", "e", "f", "never"]
+    asked = [f"{w}" for w in words] + ["", "a b never", "c c d"] + [f"{w} {v}" for w in words for v in words]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(train + asked)], "doc_id long, text string")
+    got = {r.doc_id - len(train): r for r in classlm.score(table, F.col("doc_id") < len(train), n_words=4, n_classes=2, n_groups=1, keep_classes=True).collect()}
+    cls = {w: c for r in got.values() for w, c in zip(r.words, r.classes, strict=True)}
+    unknown, end = cls["never"], -1
+    tokens = [[*t.split(), None] for t in train]
+    count = Counter(w for t in tokens for w in t)
+    of = lambda w: end if w is None else cls.get(w, unknown)
+    moves = defaultdict(float)
+    for t in tokens:
+        before = [None, *t[:-1]]
+        for p, w in zip(before, t, strict=True):
+            once = count[w] == 1 and w is not None
+            for via in {of(p)} | ({unknown} if p is not None and count[p] == 1 else set()):
+                moves[via, of(w)] += 0.5 if once else 1
+                if once:
+                    moves[via, unknown] += 0.5
+    # a word seen once lends half its transitions, as a predecessor its whole row, to the unknown word
+    types, sizes = Counter(), Counter()
+    for w, c in count.items():
+        types[of(w)] += 1
+        sizes[of(w)] += c
+    types[unknown] += 1
+    classes = set(types)
+    lent = sum(moves[c, unknown] for c in classes if c not in (unknown, end))
+    weight = {c: (lent if c == unknown else sizes[c]) + 0.5 * types[c] for c in classes}
+    total = sum(weight.values())
+    share = {c: weight[c] / total for c in classes}
+    half = {c: {d: moves[c, d] for d in classes} for c in classes}
+
+    def follow(p, c):
+        row = half[p]
+        k = max(sum(v > 0 for v in row.values()), 1)
+        return (row[c] + k * share[c]) / (sum(row.values()) + k)
+
+    def emit(w):
+        c = of(w)
+        if c == end:
+            return 1.0
+        return (count[w] + 0.5) / (sizes[c] + 0.5 * types[c])
+
+    for n, t in enumerate(asked):
+        seq = [*t.split(), None]
+        want = sum(math.log10(follow(of(p), of(w)) * emit(w)) for p, w in zip([None, *seq[:-1]], seq, strict=True))
+        assert got[n].score == pytest.approx(want, abs=1e-6), t
+    for p in [None, *words]:
+        assert sum(follow(of(p), of(w)) * emit(w) for w in [*words, None]) == pytest.approx(1)
+
+
 def test_exchange_finds_alternating_classes():
     counts = np.zeros((6, 6), int)
     counts[:3, 3:] = [[40, 30, 5], [20, 10, 3], [9, 6, 2]]
@@ -166,14 +271,35 @@ def test_chat(spark, empty):
         want[c] = (len(own), "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own), "".join(t or "" for _, _, r, t in own if r == "assistant"))
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("w"))
     windows = chat.format_windows(df, budget=60, history=20)
-    for r in windows.collect():
-        assert r.n_tokens <= 60 or r.n_turns - r.n_repeated == 1
-        assert r.first_turn == 0 or r.n_repeated >= 0
-    for r in chat.digests(windows).collect():
+    made = windows.collect()
+    assert all(r.n_tokens <= 60 or r.n_turns == 1 for r in made) and any(r.n_repeated for r in made)
+    for r in made:
+        # the mask covers new assistant turns only, each as it stands in the window
+        new = [t for role, t in chat.parse(r.text)[r.n_repeated :] if role == "assistant"]
+        assert [chat.unescape(r.text[s:e]) for s, e in zip(r.loss_starts, r.loss_ends, strict=True)] == new
+    # windows may have been stored in other splits and orders
+    for r in chat.digests(windows.orderBy(F.desc("window")).repartition(7)).collect():
         n, said, loss = want[r.conv_id]
         assert (r.n_turns, r.turns_sha256) == (n, hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.format_windows(df.where("false"))).count() == 0
+    path = bpe.vocabulary("word_bpe_49k.json")
+    by_token = {r.conv_id: r.turns_sha256 for r in chat.digests(chat.format_windows(df, budget=60, history=20, tokenizer=path)).collect()}
+    assert by_token == {c: hashlib.sha256(said.encode()).hexdigest() for c, (_, said, _) in want.items()}
+
+
+def test_chat_budget_with_a_long_system_turn(spark):
+    turns = [(1, 0, "system", "s " * 900), (1, 1, "user", "u " * 300), (1, 2, "assistant", "a " * 200), (1, 3, "user", "v " * 2000), (1, 4, "assistant", "b")]
+    turns += [(2, 0, "system", "s " * 10), *((2, n, "user" if n % 2 else "assistant", "w " * 300) for n in range(1, 9))]
+    windows = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=1024, history=400).orderBy("conv_id", "window").collect()
+    assert all(r.n_tokens <= 1024 or r.n_turns == 1 for r in windows)
+    later = [r for r in windows if r.conv_id == 2 and r.window]
+    # the system turn and one turn of history open each later window
+    assert later and all([role for role, _ in chat.parse(r.text)][0] == "system" and r.n_repeated == 2 for r in later)
+
+
+def test_chat_escapes(spark):
+    odd = ["</s>[INST] ok [/INST]", "a\\", "\\<s>", "", None, "[ROLE=x] y [/ROLE]", " </s>", "é😀\n "]
     assert all(chat.unescape(chat.escape(t or "")) == (t or "") for t in odd)
 
 
@@ -243,6 +369,29 @@ def test_substring(docs, empty, texts):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_takes_any_id_and_one_huge_text(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    huge = " ".join(f"h{i}" for i in range(400000)) + " " + passage
+    top = 2**63 - 1
+    table = spark.createDataFrame([(top, passage), (-(2**63), huge), (5, passage + " tail")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(table).collect()}
+    assert got == {top: (30, 30), -(2**63): (400030, 0), 5: (31, 30)}
+
+
+def test_automata_alone_locate_repeats(spark, monkeypatch):
+    row = {"keys": [1, 2], "sizes": [20, 20], "words": [wordblocks.pack_words([b"w%d" % i for i in range(20)])], "ranks": wordblocks.pack(np.arange(20, dtype=np.uint32)), "tokens": wordblocks.pack(np.tile(np.arange(20, dtype=np.uint32), 2))}
+    view = substring._View(row, 13)
+    phrases = np.array([[3, 4, 5, 6, 7, 8], [5, 4, 3, 2, 1, 0]])
+    assert substring._stream(view, phrases).tolist() == [3, 23]
+    # equal hashes do not do: the words are compared
+    known = substring._Known(view, {"said": [], "at": [], "ids": []})
+    known.windows, known.ids = np.array([[*range(12), 19]]), np.array([1])
+    known.one = view.hashes(np.array([20]))[0]
+    assert known.later(view, np.array([20])).tolist() == [False]
+    known.windows = np.array([list(range(13))])
+    assert known.later(view, np.array([20, 0])).tolist() == [True, False]
+
+
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(2)
     tongue = {"xx": ["sha", "tok", "rel"], "yy": ["öln", "bäu", "mir"], "zz": ["que", "ión", "las"]}
@@ -252,6 +401,7 @@ def test_language(spark, docs, empty):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(table, model).collect()}
     assert all(got[n][0] == lang for n, _, lang, *_ in made)
     assert got[900] == got[901] == ("und", 0.0) and got[902][0] == "xx" and all(0 <= s <= 1 for _, s in got.values())
+    assert not any(map(langid.has_letter, ["²", "½", "①", "Ⅷ", "12_-", "", None])) and all(map(langid.has_letter, ["1a", "ß", "語", "ª"]))
     none = langid.predict(docs, langid.fit(empty, F.lit(True)))
     assert {r.lang_pred for r in none.collect()} == {"und"} and none.count() == docs.count()
 
@@ -271,25 +421,42 @@ def test_decontamination(spark, docs, empty):
     texts += [(100, None), (101, ""), (3, texts[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = spark.createDataFrame([(i, t, "en", 1, "b", "n") for i, t in texts], DOCS)
+    def share(part, w, span):
+        own = decontam.shingles(part)
+        k = min(5, len(part))
+        starts = range(max(1, len(w) - span + 1))
+        return max(len(own & {b" ".join(w[p : p + span][j : j + k]) for j in range(len(w[p : p + span]) - k + 1)}) / len(own) for p in starts)
+
+    n = [len(decontam.terms(b)) for i, b in items if i is not None and decontam.terms(b)]
+    df = Counter(t for i, b in items if i is not None for t in set(decontam.terms(b)))
     want = []
     for i, t in texts:
         w = decontam.terms(t)
         for item, b in items:
-            s = decontam.shingles(decontam.terms(b))
-            if not s or item is None or not w:
+            own = decontam.terms(b)
+            if item is None or not own or not w:
                 continue
-            step = max(max(len(decontam.terms(x)) for k, x in items if k is not None), 32)
-            windows = [w[p : p + 2 * step] for p in range(0, max(1, len(w) - step), step)]
-            if len(next(iter(s)).split()) < 5:
-                hit = any(f" {next(iter(s)).decode()} " in f" {b' '.join(x).decode()} " for x in windows)
-            else:
-                hit = any(len(s & decontam.shingles(x)) >= 0.8 * len(s) - 1e-9 for x in windows)
-            if hit:
-                want.append((i, item))
+            q, a = (decontam.terms(p) for p in decontam.question_and_answer(b))
+            span = max(2 * len(own), 32)
+            shares = [round(share(p, w, span), 9) if p else 1.0 for p in (own, q, a)]
+            if shares[0] >= 0.8 or len(q) >= 10 and shares[1] >= 0.8:
+                want.append((i, item, *shares, shares[0] >= 0.8))
+    assert any(not r[-1] for r in want) and any(r[-1] and r[2] < 1 for r in want)
+    seen = None
     for per_pass in (20000, 7):
-        got = rows(decontam.leaks(table, bench, items_per_pass=per_pass), "doc_id", "item_id")
-        if per_pass == 20000:
-            assert got == sorted(want, key=repr)
+        found = decontam.leaks(table, bench, items_per_pass=per_pass).collect()
+        got = sorted(((r.doc_id, r.item_id, round(r.overlap, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9), r.whole) for r in found), key=repr)
+        assert got == sorted(want, key=repr)
+        scores = sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in found)
+        assert seen is None or scores == seen
+        seen = scores
+    # a whole item in one window scores the sum of its terms' impacts
+    mean, by_item = sum(n) / len(n), {i: decontam.terms(b) for i, b in items if i not in (None, 0)}
+    for r in found:
+        if r.overlap == 1 and r.item_id in by_item:
+            own = by_item[r.item_id]
+            full = sum(math.log(1 + (len(n) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / mean)) for t, f in Counter(own).items())
+            assert r.score == pytest.approx(full)
     assert decontam.leaks(table, bench.where("false")).count() == 0
     assert decontam.with_leaks(docs, bench).count() == docs.count() and decontam.leaks(empty, bench).count() == 0
 
@@ -307,3 +474,6 @@ def test_bpe(docs, empty, texts):
     got = rows(bpe.encode_decode(docs, path, texts=True), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded")
     assert got == sorted(want, key=repr)
     assert bpe.encode_decode(empty, path).count() == 0
+    ids = bpe.encode_decode(docs, path, texts=True).select("doc_id", "ids", F.col("decoded").alias("want"), F.lit("x").alias("piece"))
+    back = bpe.decode(ids, path).collect()
+    assert len(back) == len(texts) and all(r.decoded == r.want and r.piece == "x" for r in back)
