@@ -149,18 +149,21 @@ _SEPARATOR = 255
 def _stream(view: _View, phrases: np.ndarray) -> np.ndarray:
     """Places of the words where one of the phrases, rows of ANCHOR word numbers, starts.
 
-    A word is four signs, each place with signs of its own, so a phrase can only match whole words and every state
-    has few ways on; a separator stands between documents.
+    A word is three or four signs, each place with signs of its own, so a phrase can only match whole words and every
+    state has few ways on; a separator stands between documents. Shards hold neighbours in order of their signs, so
+    that most of a text leaves an automaton at its first state.
     """
+    n_signs = 3 if len(view.words) <= 85**3 else 4
+    base = 255 // n_signs
 
     def signs(words: np.ndarray) -> np.ndarray:
-        left, own = words.astype(np.uint32), np.empty((len(words), 4), np.uint8)
-        for j in range(4):
-            own[:, j] = 1 + 63 * j + left % 63
-            left = left // 63
+        left, own = words.astype(np.uint32), np.empty((len(words), n_signs), np.uint8)
+        for j in range(n_signs):
+            own[:, j] = base * j + left % base
+            left = left // base
         return own
 
-    digits = np.empty((len(view.tokens) + len(view.sizes), 4), np.uint8)
+    digits = np.empty((len(view.tokens) + len(view.sizes), n_signs), np.uint8)
     inside = np.ones(len(digits), bool)
     inside[view.ends + np.arange(len(view.sizes))] = False
     digits[~inside] = _SEPARATOR
@@ -168,7 +171,7 @@ def _stream(view: _View, phrases: np.ndarray) -> np.ndarray:
     text = digits.tobytes().decode("latin-1")
     place = np.cumsum(inside) - 1  # a sign's place among the words
     plain = signs(phrases.reshape(-1)).tobytes().decode("latin-1")
-    own = list({plain[i : i + 4 * ANCHOR] for i in range(0, len(plain), 4 * ANCHOR)})
+    own = sorted({plain[i : i + n_signs * ANCHOR] for i in range(0, len(plain), n_signs * ANCHOR)})
     found: list[np.ndarray] = []
     for s in range(0, len(own), SHARD):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -176,7 +179,7 @@ def _stream(view: _View, phrases: np.ndarray) -> np.ndarray:
             automaton.add_word(phrase)
         automaton.make_automaton()
         ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-        found.append(place[(ends + 1) // 4 - ANCHOR])
+        found.append(place[(ends + 1) // n_signs - ANCHOR])
     return np.sort(np.concatenate([*found, np.empty(0, np.int64)]))
 
 
@@ -211,19 +214,23 @@ class _Known:
     """The passages that a block was given, as numbers of its own words: their windows in order of hash, and their anchors."""
 
     def __init__(self, view: _View, got: dict[str, list]):
-        number = {w: n for n, w in enumerate(view.words)}
-        windows, ids, anchors = [], [], []
+        number = {w: n for n, w in enumerate(view.words)}.get
+        words, sizes, places, least = [], [], [], []
         for said, at, of in zip(got["said"], got["at"], got["ids"], strict=True):
-            texts, places, least = _unpack_passages({"said": said, "at": at, "ids": of})
-            for text, place, i in zip(texts, places.tolist(), least.tolist(), strict=True):
-                own = [number.get(w, -1) for w in text.split(b" ")]
-                anchors.append(own[place : place + ANCHOR])
-                windows += [own[s : s + view.width] for s in range(len(own) - view.width + 1)]
-                ids += [i] * (len(own) - view.width + 1)
-        rows = np.array(windows, np.int64).reshape(-1, view.width)
+            texts, place, i = _unpack_passages({"said": said, "at": at, "ids": of})
+            sizes += [t.count(b" ") + 1 for t in texts]
+            own = b" ".join(texts).split()
+            words.append(np.fromiter((number(w, -1) for w in own), np.int64, len(own)))
+            places.append(place.astype(np.int64))
+            least.append(i)
+        flat, size, nothing = np.concatenate([*words, np.empty(0, np.int64)]), np.array(sizes, np.int64), np.empty(0, np.int64)
+        begin = np.cumsum(size) - size
+        n = size - view.width + 1  # windows of each passage
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rows = flat[at[:, None] + np.arange(view.width)]
         here = (rows >= 0).all(1)  # a window with a word that the block has not is not in it
-        self.windows, self.ids = rows[here], np.array(ids, np.int64)[here]
-        phrases = np.array(anchors, np.int64).reshape(-1, ANCHOR)
+        self.windows, self.ids = rows[here], np.repeat(np.concatenate([*least, nothing]), n)[here]
+        phrases = flat[(begin + np.concatenate([*places, nothing]))[:, None] + np.arange(ANCHOR)]
         self.anchors = phrases[(phrases >= 0).all(1)]
         self.one, _ = _mixed((view.hashed[self.windows[:, j]] for j in range(view.width)), len(self.windows))
         order = np.argsort(self.one, kind="stable")
