@@ -113,8 +113,9 @@ def _by_doc(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[tuple[np.nda
 def _seeds(view: _View, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
     """The distinct anchors of a block by bucket, and whether each is in documents of different ids."""
     doc = view.doc_of(view.windows)
-    has = view.has_id[doc]
-    (anchors,), least, most, _ = _by_doc((view.anchors[has],), view.ids[doc[has]])
+    use = view.has_id[doc]
+    use[1:] &= (view.anchors[1:] != view.anchors[:-1]) | (doc[1:] != doc[:-1])  # neighbours mostly share one
+    (anchors,), least, most, _ = _by_doc((view.anchors[use],), view.ids[doc[use]])
     bucket = _bucket(anchors, n_buckets)
     order = np.lexsort((anchors & _CODE, bucket))
     return anchors[order], (least != most)[order], _parts(bucket, n_buckets)
