@@ -98,11 +98,28 @@ class _Part:
 
     def least(self, impacts: dict[bytes, float], words: list[bytes], similarity: float) -> float:
         """The least sum of impacts of the terms of a window that has the share `similarity` of the shingles."""
-        own = sorted((impacts[t] for t in set(words)), reverse=True)
-        spare_ = len(self.set) - int(np.ceil(similarity * len(self.set) - 1e-9))
-        # without `spare_` shingles so many terms may be lacking: neighbours share terms where no shingle is twice
-        lost = 0 if not spare_ else spare_ + self.width - 1 if len(self.set) == self.n_words - self.width + 1 else spare_ * self.width
-        return max(sum(own[lost:]) - 1e-9, 0.0)
+        times = Counter(words)
+        full, room = sum(impacts[t] for t in times), len(self.set) - int(np.ceil(similarity * len(self.set) - 1e-9))
+        if not room:
+            lost = 0.0
+        elif len(self.set) < self.n_words - self.width + 1:  # a shingle stands twice: each one lacking costs its own terms
+            lost = sum(sorted((impacts[t] for t in times), reverse=True)[: room * self.width])
+        else:
+            # the most that words can weigh which may be lacking: a shingle is lacking where a word in it is. most[d, k]: the
+            # weight so far with k shingles lacking and the last such word d words back; a repeated term weighs its share
+            most = np.full((self.width + 1, room + 1), -np.inf)
+            most[self.width, 0] = 0.0
+            for n, t in enumerate(words):
+                new = np.full_like(most, -np.inf)
+                new[0] = most.max(0) + impacts[t] / times[t]
+                new[1:] = most[:-1]
+                new[self.width] = np.maximum(new[self.width], most[self.width])
+                if n >= self.width - 1:  # the shingle that ends here
+                    new[: self.width, 1:] = new[: self.width, :-1]
+                    new[: self.width, 0] = -np.inf
+                most = new
+            lost = float(most.max())
+        return max(full - lost - 1e-9, 0.0)
 
 
 class Index:

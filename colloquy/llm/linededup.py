@@ -96,16 +96,19 @@ def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id"
     if found is None:
         return levels[0][1].where("false").select(*_PLACE, F.lit(0).alias("len"), place.alias("source"))
     runs = stored(found.groupBy(*_PLACE, "rest").agg(F.max("top").alias("top")).select(*_PLACE, "rest", "top.level", "top.len", "top.source"), "line-runs")
+    own = ("doc", "copy", "at", "rest", "len", "source")
+    open_, done = None, runs.where("level = 0 OR len = rest").select(*own)
     for n in reversed(range(len(levels) - 1)):
-        # further lines on which the run and its source agree, for runs whose own level is above this one
-        open_ = runs.where((F.col("level") > n) & (F.col("len") < F.col("rest")))
+        # further lines on which a run and its source agree, for runs whose own level is above this one
+        begun = runs.where((F.col("level") == n + 1) & (F.col("len") < F.col("rest"))).select(*own)
+        open_ = begun if open_ is None else open_.unionByName(begun)
         ranks = levels[n][1].select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("at").alias("_at"), F.col("rest").alias("_rest"), F.col("rank").alias("_rank"))
-        here = open_.join(ranks, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("at") + F.col("len") == F.col("_at")))
-        here = here.select(*_PLACE, "len", "source", F.col("_rest").alias("left"), F.col("_rank").alias("mine"))
-        both = here.join(ranks, source["doc"].eqNullSafe(F.col("_doc")) & (source["copy"] == F.col("_copy")) & (source["at"] + F.col("len") == F.col("_at")) & (F.col("mine") == F.col("_rank")))
-        more = both.select(F.col("doc").alias("d"), F.col("copy").alias("c"), F.col("at").alias("a"), F.least(F.lit(levels[n][0]), F.col("left")).alias("more"))
-        grown = runs.join(more, F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("at") == F.col("a")), "left")
-        runs = stored(grown.withColumn("len", F.col("len") + F.coalesce("more", F.lit(0))).drop("d", "c", "a", "more"), "line-runs")
+        further = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("at") + F.col("len") == F.col("_at"))
+        here = open_.join(ranks, further, "left").select(*own, F.col("_rest").alias("left"), F.col("_rank").alias("mine"))
+        same = source["doc"].eqNullSafe(F.col("_doc")) & (source["copy"] == F.col("_copy")) & (source["at"] + F.col("len") == F.col("_at")) & (F.col("mine") == F.col("_rank"))
+        more = F.when(F.col("_rank").isNull(), 0).otherwise(F.least(F.lit(levels[n][0]), F.col("left")))
+        open_ = stored(here.join(ranks, same, "left").withColumn("len", F.col("len") + more).select(*own), "line-runs")
+    runs = done if open_ is None else done.unionByName(open_)
     length = F.when(inside, F.least(F.col("len"), F.col("at") - source["at"])).otherwise(F.col("len"))
     return runs.select(*_PLACE, length.alias("len"), "source")
 
@@ -144,7 +147,8 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None =
     numbers = F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda x: x["len"] > 0), lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))
     gone = gone.select(F.col("doc").alias(doc), F.col("copy").alias(copy), numbers.alias(lost))
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.col(id_col).alias(key), F.xxhash64(text_col).alias(text_hash))
-    rows = rows.join(gone, F.col(key).eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(copy)), "left").withColumn(all_, F.split(text_col, "\n", -1))
+    # texts meet their lost lines by a merge at every size of the table
+    rows = rows.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(copy)), "left").withColumn(all_, F.split(text_col, "\n", -1))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), lost), lambda i: F.col(all_)[i])
     none_gone = F.col(lost).isNull() | F.col(text_col).isNull()
     out = rows.withColumns({
