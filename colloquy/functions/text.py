@@ -104,13 +104,13 @@ def pattern_count(c: Column, patterns: list[str]) -> Column:
 
 
 def pattern_hits(c: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [text_of(c).rlike(f"(?i){p}").cast("int") for p in patterns], F.lit(0))
+    return reduce(lambda a, b: a + b, [text_of(c).rlike(f"(?iU){p}").cast("int") for p in patterns], F.lit(0))
 
 
 def matched(c: Column, terms: list[str], patterns: list[str], most: int) -> Column:
     """The terms contained in lower case and the patterns found, in their order, at most `most`."""
     lowered = F.lower(text_of(c))
-    own = [F.when(lowered.contains(t.lower()), F.lit(t)) for t in terms] + [F.when(text_of(c).rlike(f"(?i){p}"), F.lit(p)) for p in patterns]
+    own = [F.when(lowered.contains(t.lower()), F.lit(t)) for t in terms] + [F.when(text_of(c).rlike(f"(?iU){p}"), F.lit(p)) for p in patterns]
     return F.slice(F.array_distinct(F.array_compact(F.array(*own))), 1, most)
 
 
@@ -178,6 +178,45 @@ def cut_leaks(c: Column, markers: list[str] | None = None) -> Column:
     return strip(F.when(F.size(places) > 0, F.substr(text, F.lit(1), F.array_min(places) - 1)).otherwise(text))
 
 
+QUOTES = "\"“”‘’`"
+
+
+def unquote(c: Column) -> Column:
+    return F.regexp_replace(text_of(c), f"^[{QUOTES}]+|[{QUOTES}]+$", "")
+
+
+def without_speaker(c: Column, speakers: list[str]) -> Column:
+    """Without a speaker's name and colon at the start; white space at either end goes."""
+    return strip(F.regexp_replace(text_of(c), rf"(?iU)^\s*(?:{'|'.join(map(literal, speakers))})\s*[:：]\s*", ""))
+
+
+def clean_turn(c: Column, speaker: str, lexicon: lx.Lexicon = lx.DEFAULT, *, clauses: Callable[[Column], Column] | None = None) -> Column:
+    """The next chat message alone in a model's answer: without fences, a JSON shell, quotes, leaked turns and speaker names.
+
+    At most 2 lines of a user and 4 of an assistant. clauses is applied to an assistant's text, say dedupe_clauses.
+    """
+    plain = strip_fences(c)
+    shell = F.from_json(plain, "struct<content:string,message:string,text:string,reply:string,value:string>")
+    is_object = F.try_parse_json(plain).isNotNull() & plain.startswith("{")
+    kinds = [F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(plain), f"$.{k}", "variant")) == "STRING", strip(shell[k])) for k in ("content", "message", "text", "reply", "value")]
+    plain = F.when(is_object, F.coalesce(*kinds, plain)).otherwise(plain)
+    plain = without_speaker(cut_leaks(unquote(strip(plain))), lexicon.speakers)
+    # a line that begins like another speaker's turn ends the message
+    leak = rf"(?iU)^\s*(?:{'|'.join(map(literal, lexicon.leak_speakers))}|###\s*Human|###\s*Assistant)\s*[:：]?|<\|im_end\|>|<\|im_start\|>|</s>"
+    first = lambda x: F.array_position(F.transform(x, lambda y: y.rlike(leak)), True)
+    lines = let(F.split(plain, r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1), lambda x: F.when(first(x) == 0, x).otherwise(F.slice(x, F.lit(1), (first(x) - 1).cast("int"))))
+    kept = F.filter(F.transform(lines, lambda x: unquote(without_speaker(x, lexicon.speakers))), lambda x: x != "")
+    most = 2 if speaker == "user" else 4
+    said = strip(F.array_join(F.slice(kept, 1, most), "\n"))
+    if speaker == "user":
+        said = F.regexp_replace(said, r"[ \t]+", " ")
+        said = strip(F.regexp_replace(said, r"^(好的|好|嗯嗯)[，,\s]*(我明白了|明白了)[，,\s]*", ""))
+        said = strip(F.regexp_replace(said, r"(?i)^(ok(?:ay)?|sure|yeah)[,\s]*(i understand|got it)[,\s]*", ""))
+    elif clauses is not None:
+        said = clauses(said)
+    return strip(said)
+
+
 def trim_user(c: Column, words: int = 20, chars: int = 20) -> Column:
     """At most 20 words of a text with Latin letters and no CJK, at most 20 characters of any other."""
     text = strip(c)

@@ -16,7 +16,10 @@ MESSAGES = "array<struct<role:string,content:string>>"
 def from_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, messages) from one row a turn. Turns go by number, then role and text; order never rests on arrival."""
     own = F.sort_array(F.collect_list(F.struct(F.col("turn"), text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("content"))))
-    return turns.groupBy(id_col).agg(F.transform(own, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    spark = turns.sparkSession
+    # a number of its own, so that small tables are not dealt to one task, which then scores them all
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return turns.repartition(parts, id_col).groupBy(id_col).agg(F.transform(own, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
 def with_role(messages: Column, role: str) -> Column:
@@ -72,7 +75,9 @@ def preview(messages: Column, each: int = 80, most: int = 220) -> Column:
 
 def _with_turn(messages: Column) -> Column:
     """Each message with the number of user messages up to it."""
-    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.size(F.filter(F.slice(messages, 1, i + 1), lambda x: x["role"] == "user")).alias("k")))
+    users = F.transform(messages, lambda m: F.coalesce((m["role"] == "user").cast("int"), F.lit(0)))
+    upto = F.slice(F.aggregate(users, F.array(F.lit(0)), lambda k, u: F.concat(k, F.array(F.element_at(k, -1) + u))), 2, F.greatest(F.size(messages), F.lit(1)))
+    return F.zip_with(messages, upto, lambda m, k: F.struct(m["role"].alias("role"), m["content"].alias("content"), k.alias("k")))
 
 
 def numbered_transcript(messages: Column) -> Column:

@@ -13,7 +13,7 @@ from colloquy.operators import messages as ms
 def measures(samples: DataFrame, lx: Lexicon = DEFAULT) -> DataFrame:
     """samples with turns, formula, emoji, hype and vulnerability."""
     asst, text = ms.role_text(F.col("messages"), "assistant"), F.array_join(ms.contents(F.col("messages")), "\n")
-    return samples.withColumns({"turns": F.size(ms.with_role(F.col("messages"), "assistant")), "formula": tx.pattern_count(asst, lx.formulas), "emoji": tx.emoji_count(text), "hype": tx.marker_count(text, lx.hype), "vulnerability": tx.marker_count(asst, lx.vulnerability), "preview": F.replace(F.substr(asst, F.lit(1), F.lit(180)), F.lit("\n"), F.lit(" "))})
+    return samples.withColumns({"turns": F.size(ms.with_role(F.col("messages"), "assistant")), "formula": tx.pattern_count(asst, lx.formulas), "emoji": tx.emoji_count(text), "hype": tx.marker_count(text, lx.report_hype), "vulnerability": tx.marker_count(asst, lx.report_vulnerability), "preview": F.replace(F.substr(asst, F.lit(1), F.lit(180)), F.lit("\n"), F.lit(" "))})
 
 
 def averages(measured: DataFrame) -> DataFrame:
@@ -48,3 +48,10 @@ def confusion(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("id", F.col("status").alias("old_status"), F.col("score").alias("s0")).join(after.select("id", F.col("status").alias("new_status"), F.col("score").alias("s1")), "id")
     changed = (F.col("old_status") != F.col("new_status")) | (F.abs(F.col("s1") - F.col("s0")) > 0.05)
     return both.groupBy("old_status", "new_status").agg(F.count("*").alias("n"), F.count_if(changed).alias("changed"))
+
+
+def changes(before: DataFrame, after: DataFrame, n: int = 200) -> DataFrame:
+    """The first n samples by id whose status differs or whose score moved by over 0.05."""
+    both = before.select("id", F.col("status").alias("old_status"), F.col("score").alias("old_score")).join(after.select("id", F.col("status").alias("new_status"), F.col("score").alias("new_score")), "id")
+    moved = (F.col("old_status") != F.col("new_status")) | (F.abs(F.col("new_score") - F.col("old_score")) > 0.05)
+    return both.where(moved).orderBy("id").limit(n)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import CJK, DEFAULT, Lexicon
-from colloquy.functions.similarity import ratios
+from colloquy.functions.similarity import ratios, text_ratio
 from colloquy.operators import messages as ms
 
 POSITIVE = ["format_valid", "relevance", "source_style_strength", "human_naturalness", "coherence", "emotion_arc", "non_template", "safety", "training_value", "translation_quality"]
@@ -115,8 +115,19 @@ def _similarity_terms(messages: Column) -> tuple[Column, Column]:
     return F.concat(*left), F.concat(*right)
 
 
+#: Columns of a plan whose Chinese words a dialogue may take up.
+BLUEPRINT = ["theme", "scene", "user_profile", "emotion_arc_plan"]
+
+
+def blueprint_hits(text: Column, terms: list[Column]) -> Column:
+    """How many of the plan's texts have a run of two Chinese characters or more that the text holds."""
+    held = lambda term: F.exists(F.regexp_extract_all(tx.text_of(term), F.lit(f"({CJK}{{2,}})"), 1), lambda run: text.contains(run))
+    return reduce(lambda a, b: a + b, [held(t).cast("int") for t in terms], F.lit(0))
+
+
 def features(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon = DEFAULT) -> DataFrame:
-    """samples (any columns, `messages`, and if there: spec_text, topic_tier, style_tags, translated, source_messages) with the
+    """samples (any columns, `messages`, and if there: spec_text, topic_tier, style_tags, translated, source_messages, metadata_json,
+    theme, scene, user_profile, emotion_arc_plan) with the
     measures that the ladder reads. A null or missing optional column counts as absent."""
     has = set(samples.columns)
     m = F.col("messages")
@@ -124,7 +135,7 @@ def features(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon =
     df = samples.withColumns({
         "_text": ms.conversation_text(m), "_user": ms.role_text(m, "user"), "_asst": ms.role_text(m, "assistant"),
         "user_turns": F.size(ms.with_role(m, "user")), "assistant_turns": F.size(ms.with_role(m, "assistant")),
-        "_spec": opt("spec_text", F.lit("")), "_tier": opt("topic_tier", F.lit("low")), "_tags": opt("style_tags", F.array().cast("array<string>")), "_translated": opt("translated", F.lit(False)),
+        "_spec": opt("spec_text", F.lit("")), "_tier": opt("topic_tier", F.lit("low")), "_tags": opt("style_tags", F.array().cast("array<string>")), "_translated": opt("translated", F.lit(False)), "_metadata": opt("metadata_json", F.lit("")),
     })
     df = drift_columns(df, "messages", F.col("_spec"), F.col("_tier"), lx)
     text, user, asst = F.col("_text"), F.col("_user"), F.col("_asst")
@@ -133,7 +144,7 @@ def features(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon =
         "leak_hits": F.size(tx.matched(text, lx.leak_terms, lx.leak_patterns, 12)), "style_hits": tx.marker_hits(asst, lx.style), "edge_hits": tx.pattern_hits(asst, lx.edge),
         "emoji_hits": tx.emoji_count(text), "formula_hits": tx.pattern_count(asst, lx.formulas), "hype_hits": tx.marker_count(text, lx.hype), "vulnerability_hits": tx.marker_count(asst, lx.vulnerability),
         "template_hits": tx.marker_hits(text, lx.templates, lower=True), "assistant_template_hits": tx.marker_hits(asst, lx.assistant_templates), "danger_hits": tx.pattern_hits(text, lx.danger), "emotion_hits": tx.marker_hits(F.concat(text, F.lit("\n"), F.col("_spec")), lx.emotion),
-        "tag_hits": F.size(F.filter("_tags", lambda t: text.contains(t))), "has_question": text.contains("?") | text.contains("？"),
+        "tag_hits": F.size(F.filter("_tags", lambda t: text.contains(t) | F.col("_metadata").contains(t))), "blueprint_hits": blueprint_hits(text, [F.col(c) for c in BLUEPRINT if c in has]), "has_question": text.contains("?") | text.contains("？"),
         "human_naturalness": human_naturalness(user, F.col("user_turns"), lx), "non_sequitur_badness": non_sequitur(m, lx),
         "rep_whole": tx.ngram_repetition(text), "rep_assistant": tx.ngram_repetition(asst),
     })
@@ -148,9 +159,11 @@ def features(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon =
     df = df.withColumn("parrot", parrots > 0).withColumn("repetition_badness", tx.clamp(parrots * 4.5 + alike * 2.5 + over("rep_whole", 0.42, 16) + over("rep_assistant", 0.38, 18)))
     quality = F.when(~F.col("_translated"), 10.0)
     if "source_messages" in has:
-        quality = quality.otherwise(translation_quality(m, F.col("source_messages"), lx))
+        said = lambda x: tx.compact(F.array_join(ms.contents(ms.dialogue(x)), "\n"))
+        likeness = text_ratio(said(F.col("source_messages")), said(m)) if with_similarity else None
+        quality = quality.otherwise(translation_quality(m, F.col("source_messages"), lx, likeness))
     df = df.withColumn("translation_quality", F.coalesce(quality, F.lit(2.0))).withColumn("is_translated", F.col("_translated")).withColumn("n_tags", F.size(F.array_distinct("_tags")))
-    return df.drop("_text", "_user", "_asst", "_spec", "_tier", "_tags", "_translated", "_sims", "_n")
+    return df.drop("_text", "_user", "_asst", "_spec", "_tier", "_tags", "_translated", "_metadata", "_sims", "_n")
 
 
 def translation_quality(messages: Column, source: Column, lx: Lexicon = DEFAULT, similarity: Column | None = None) -> Column:
@@ -184,7 +197,7 @@ def scores(measured: DataFrame) -> DataFrame:
     rep, drift, nseq = c("repetition_badness"), c("topic_drift_badness"), c("non_sequitur_badness")
     df = df.withColumns({
         "source_style_strength": tx.clamp(F.lit(7.0) + c("style_hits") * 0.30 + c("edge_hits") * 0.55 + cap("vulnerability_hits", 0.15, 0.6) + cap("tag_hits", 0.25, 0.6) + cap("emoji_hits", 0.08, 0.4) - c("_formula") - c("_hype")),
-        "relevance": tx.clamp(F.lit(6.1) + c("tag_hits") * 0.35 - drift * 0.45),
+        "relevance": tx.clamp(F.lit(6.1) + c("blueprint_hits") * 0.75 + c("tag_hits") * 0.35 - drift * 0.45),
         "non_template": tx.clamp(F.lit(10.0) - c("template_hits") * 1.8 - c("assistant_template_hits") * 2.0 - c("leak_hits") * 3.0 - rep * 0.9 - c("formula_hits") * 1.2 - c("_hype") * 0.8 - drift * 0.35 - nseq * 0.5 - F.when(c("_emoji"), 0.8).otherwise(0.0)),
         "coherence": tx.clamp(c("role_score") * 0.45 + c("multi_turn") * 0.40 + length_bucket(c("n_chars_text")) * 0.15 - rep * 0.8 - drift * 0.42 - nseq * 0.7),
         "emotion_arc": tx.clamp(F.lit(4.8) + cap("emotion_hits", 0.7, 4.2) + cap("vulnerability_hits", 0.25, 1.2) + cap("emoji_hits", 0.12, 0.6) + cap("n_tags", 0.2, 1.0) + F.when(c("has_question"), 0.6).otherwise(0.0) - c("_formula") * 0.6 - c("_hype") * 0.5 - drift * 0.25),
@@ -201,10 +214,25 @@ def scores(measured: DataFrame) -> DataFrame:
         | (c("template_hits") >= 2) | c("_emoji") | (c("_hype") >= 3) | (c("human_naturalness") < 6.5) | (c("non_template") < 7) | (c("training_value") < 7) | (c("assistant_template_hits") > 0)
     )
     status = F.when((c("format_valid") <= 0) | (c("safety") <= 7) | reject, "rejected").when((c("overall") >= 8) & ~review, "accepted").when(c("overall") >= 6.5, "needs_review").otherwise("rejected")
-    df = df.withColumn("status", status)
+    df = df.withColumn("status", status).withColumn("reasons", _reasons())
+    if "style_tags" in df.columns:
+        scene = F.array(F.col("scene")) if "scene" in df.columns else F.array().cast("array<string>")
+        df = df.withColumn("tags", F.slice(F.array_distinct(F.filter(F.concat(F.coalesce("style_tags", F.array().cast("array<string>")), scene), lambda t: t.isNotNull())), 1, 8))
     return df.withColumns({k: _r(c(k)) for k in [*POSITIVE, "repetition_badness", "topic_drift_badness", "non_sequitur_badness", "prompt_leakage"]}).drop("_hype", "_emoji", "_formula")
 
 
+def _reasons() -> Column:
+    """What spoke against a sample, in the order in which it was looked at; `passed` where nothing did."""
+    c = F.col
+    rep, drift, nseq = c("repetition_badness"), c("topic_drift_badness"), c("non_sequitur_badness")
+    found = [
+        ("leakage", c("leak_hits") > 0), ("length", ~c("n_chars_text").between(350, 12000)), ("formulas", c("formula_hits") > 0), ("hype", c("_hype") > 0), ("emoji", c("_emoji")),
+        ("user sounds written", c("human_naturalness") < 6.5), ("repetition", rep > 0), ("parrot", c("parrot")), ("beside the point", nseq > 0), ("drift", drift > 0), ("off the plan", c("relevance") < 6),
+        ("template", c("template_hits") > 0), ("assistant template", c("assistant_template_hits") > 0), ("danger", c("danger_hits") > 0), ("translation", c("is_translated") & (c("translation_quality") < 7)),
+    ]
+    return F.coalesce(F.nullif(F.array_compact(F.array(*[F.when(cond, name) for name, cond in found])), F.array().cast("array<string>")), F.array(F.lit("passed")))
+
+
 def heuristic_review(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon = DEFAULT) -> DataFrame:
     return scores(features(samples, with_similarity=with_similarity, lx=lx))
 
@@ -222,9 +250,18 @@ def trend(samples: DataFrame, lx: Lexicon = DEFAULT, *, with_similarity: bool =
     severity = (
         F.when(formula >= 2, F.lit(2.5) + F.least(F.lit(3.0), formula * 0.6)).otherwise(0.0)
         + F.when((F.size("_heads") >= 3) & (F.size(F.filter("_sims", lambda s: s > 0.58)) >= 2), 2.0).otherwise(0.0)
-        + F.when((n >= 4) & (tx.emoji_count(asst) / F.greatest(n, F.lit(1)) >= 1.8) & (tx.marker_count(said, lx.hype) >= 8) & (vulnerable == 0), 2.0).otherwise(0.0)
+        + F.when((n >= 4) & (tx.emoji_count(asst) / F.greatest(n, F.lit(1)) >= 1.8) & (tx.marker_count(said, lx.trend_hype) >= 8) & (vulnerable == 0), 2.0).otherwise(0.0)
         + F.when((n >= 5) & (tense == 0) & (vulnerable == 0), 1.4).otherwise(0.0)
         + F.when(F.exists(ms.keep_last(answers, 3), lambda a: tx.ngram_repetition(a) > 0.46), 1.4).otherwise(0.0)
     )
     df = drift_columns(df.withColumn("_severity", severity), "messages", lx=lx)
     return df.withColumn("trend_severity", _r(F.col("_severity") + F.col("drift_severity"))).drop("_heads", "_sims", "_severity")
+
+
+def trend_by_turn(samples: DataFrame, lx: Lexicon = DEFAULT, *, with_similarity: bool = True, messages: str = "messages") -> DataFrame:
+    """A row for each assistant turn of each sample: samples' other columns, `turn` (from 1) and the trend of all up to it."""
+    m = F.col(messages)
+    ends = F.filter(F.transform(m, lambda x, i: F.when(x["role"] == "assistant", i + 1)), lambda x: x.isNotNull())
+    rows = samples.select(*[c for c in samples.columns if c != messages], m.alias("_all"), F.posexplode(ends).alias("turn", "_end"))
+    rows = rows.withColumns({"turn": F.col("turn") + 1, "messages": F.slice("_all", F.lit(1), F.col("_end"))}).drop("_all", "_end")
+    return trend(rows, lx, with_similarity=with_similarity).drop("messages")

@@ -32,12 +32,21 @@ def stats(samples: DataFrame) -> DataFrame:
     return samples.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("avg_score"))
 
 
-def search(samples: DataFrame, *, status: str | None = None, q: str = "", limit: int = 50, offset: int = 0, text: Column | None = None) -> DataFrame:
-    """A page of samples, best score first. q is taken literally, in lower case, over the decoded content."""
-    text = ms.conversation_text(F.col("messages")) if text is None else text
+def matching(samples: DataFrame, *, status: str | None = None, q: str = "", columns: tuple[str, ...] = ()) -> DataFrame:
+    """The samples of a status whose messages, or any of the other text columns named, hold q: literally, in lower case."""
     out = samples if status is None else samples.where(F.col("status") == status)
-    out = out if not q.strip() else out.where(F.lower(text).contains(q.strip().lower()))
-    return ordered(out).offset(max(0, offset)).limit(min(200, max(1, limit)))
+    texts = [ms.conversation_text(F.col("messages")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]]
+    return out if not q.strip() else out.where(F.lower(F.concat_ws("\n", *texts)).contains(q.strip().lower()))
+
+
+def search(samples: DataFrame, *, status: str | None = None, q: str = "", limit: int = 50, offset: int = 0, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A page of the matching samples, best score first."""
+    return ordered(matching(samples, status=status, q=q, columns=columns)).offset(max(0, offset)).limit(min(200, max(1, limit)))
+
+
+def search_count(samples: DataFrame, **which: object) -> DataFrame:
+    """One row, `total`: how many samples match, whatever the page."""
+    return matching(samples, **which).agg(F.count("*").alias("total"))
 
 
 def ordered(samples: DataFrame) -> DataFrame:

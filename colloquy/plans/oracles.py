@@ -81,12 +81,12 @@ _OPENERS = " OR ".join(f"starts_with(lower(av), {_q(o)})" for o in lx.SOFT_OPENE
 _NAT_BREAKS = " + ".join(_count("utxt", c) for c in "。.？?！!")
 _NAT_MARKERS = " + ".join(f"CAST(contains(utxt, {_q(t)}) AS INTEGER)" for t in lx.HUMAN_MARKERS)
 _NAT_FORMAL = " + ".join(f"CAST(contains(lower(utxt), {_q(t.lower())}) AS INTEGER)" for t in lx.FORMAL)
-_NAT_META = " + ".join(f"CAST(contains(lower(utxt), {_q(t.lower())}) AS INTEGER)" for t in lx.USER_META + lx.FRAMEWORK_TERMS)
+_NAT_META = " + ".join(f"CAST(contains(lower(utxt), {_q(t.lower())}) AS INTEGER)" for t in lx.USER_META)
 _EMOJI = lambda c: _matches(c, lx.EMOJI)
 _FORMULA = lambda c: "(" + " + ".join(_matches(c, f"(?is){x}") for x in lx.FORMULAS) + ")"
 _MEASURES = f"""ms2 AS (
     SELECT *, a AS turns, {_FORMULA('atxt')} AS formula, {_EMOJI("array_to_string(list_transform(ms, lambda x: x.content), chr(10))")} AS emoji,
-           {_marker_count("array_to_string(list_transform(ms, lambda x: x.content), chr(10))", lx.HYPE)} AS hype, {_marker_count('atxt', lx.VULNERABILITY)} AS vulnerability FROM smp
+           {_marker_count("array_to_string(list_transform(ms, lambda x: x.content), chr(10))", lx.REPORT_HYPE)} AS hype, {_marker_count('atxt', lx.REPORT_VULNERABILITY)} AS vulnerability FROM smp
 )"""
 
 
@@ -115,6 +115,9 @@ _DRIFT = f"""{_DIALOGUE},
     un AS (SELECT conv_id, list(domain ORDER BY domain) AS ds FROM dom WHERE domain NOT IN ('social', 'emotion_attachment', 'ai_relationship', 'work') GROUP BY conv_id),
     run AS (SELECT conv_id, list(domain ORDER BY domain) AS ds FROM rdom WHERE domain NOT IN ('social', 'emotion_attachment', 'ai_relationship', 'work') GROUP BY conv_id)"""
 
+_SNAPSHOTS = """SELECT user_id AS id, event_id AS updated_at, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 3 = 0 THEN 'running' ELSE 'done' END AS status, CAST(50 AS INTEGER) AS total,
+    event_id % 51 AS done, event_id % 7 AS accepted, event_id % 3 AS failed FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
+
 ORACLES: dict[str, str] = {
     "conv_role_counts": _with(f"SELECT conv_id, CAST(u AS INTEGER) AS n_user, CAST(a AS INTEGER) AS n_assistant, CAST(s AS INTEGER) AS n_system, CAST(length(txt) AS INTEGER) AS n_chars, sha256({_canonical('txt')}) AS fingerprint, round(CAST(role_score AS DOUBLE), 4) AS role_score, CAST(multi_turn AS DOUBLE) AS multi_turn, CAST(length_score AS DOUBLE) AS length_score FROM f"),
     "conv_length_bucket": _with("SELECT CAST(length_score AS DOUBLE) AS length_score, count(*) AS n, CAST(sum(length(txt)) AS BIGINT) AS chars FROM f GROUP BY 1"),
@@ -162,7 +165,7 @@ ORACLES: dict[str, str] = {
         FROM m LEFT JOIN full_ USING (conv_id) LEFT JOIN agg USING (conv_id) LEFT JOIN un ON un.conv_id = m.conv_id LEFT JOIN run ON run.conv_id = m.conv_id""",
         _DRIFT,
     ),
-    "conv_leakage_hits": _with("SELECT conv_id, array_to_string(list_filter([" + ", ".join(_q(t) for t in lx.FRAMEWORK_TERMS) + "], lambda x: contains(lower(txt), x)), ',') AS hits FROM m"),
+    "conv_leakage_hits": _with("SELECT conv_id, array_to_string(list_slice(list_distinct_in_order, 1, 12), ',') AS hits FROM (SELECT conv_id, list_filter([" + ", ".join([*(f"CASE WHEN contains(lower(txt), {_q(t.lower())}) THEN {_q(t)} END" for t in lx.LEAK_TERMS), *(f"CASE WHEN regexp_matches(txt, {_q('(?i)' + x)}) THEN {_q(x)} END" for x in lx.LEAK_PATTERNS)]) + "], lambda x: x IS NOT NULL) AS list_distinct_in_order FROM m)"),
     "conv_stats_by_status": _with("SELECT status, count(*) AS n, round(avg(score), 2) AS avg_score FROM smp GROUP BY status"),
     "conv_search": _with("SELECT id, score, status FROM smp WHERE contains(lower(txt), 'the') ORDER BY score DESC, updated_at DESC, id LIMIT 20 OFFSET 5"),
     "conv_recent": _with("SELECT id, score FROM smp ORDER BY updated_at DESC, id LIMIT 30"),
@@ -200,4 +203,73 @@ ORACLES: dict[str, str] = {
     "plan_tier_quota": "SELECT * FROM (VALUES ('low', 10), ('mid', 10), ('high', 5)) AS q(tier, n)",
     "plan_topic_rounds": "SELECT * FROM (VALUES ('low', CAST(40 AS BIGINT), CAST(3 AS BIGINT), CAST(2 AS BIGINT)), ('mid', 40, 3, 2), ('high', 20, 3, 2)) AS q(tier, n, most, fewest)",
     "plan_axis_roundrobin": "SELECT CAST(range AS INTEGER) AS scene, CAST(7 AS BIGINT) AS n, CAST(7 AS BIGINT) AS profiles FROM range(10)",
+    "conv_top_issues_planted": _with(
+        "SELECT id, CAST(formula AS INTEGER) AS formula, CAST(hype AS INTEGER) AS hype, CAST(emoji AS INTEGER) AS emoji FROM ms2 WHERE formula > 0 OR (hype >= 8 AND vulnerability = 0) OR emoji >= greatest(12, turns * 2) ORDER BY formula DESC, hype DESC, emoji DESC, id LIMIT 50",
+        """x AS (SELECT *, 'make some memories! ' || repeat('awesome 😊 ', CAST(id % 50 AS INTEGER)) AS said FROM smp),
+        smpx AS (SELECT id, CASE WHEN id % 10 = 0 THEN list_append(ms, {'role': 'assistant', 'content': said}) ELSE ms END AS ms, a + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS a,
+                 CASE WHEN id % 10 = 0 THEN CASE WHEN a > 0 THEN atxt || chr(10) ELSE '' END || said ELSE atxt END AS atxt FROM x), """ + _MEASURES.replace("FROM smp", "FROM smpx"),
+    ),
+    "conv_search_count": _with("SELECT count(*) AS total FROM smp WHERE contains(lower(txt), 'teacher') OR source = 'teacher'"),
+    "conv_search_columns": _with("SELECT id, score, status FROM smp WHERE contains(lower(txt), 'low_03') OR topic_id = 'low_03' ORDER BY score DESC, updated_at DESC, id LIMIT 10"),
+    "conv_rejudge_changes": _with(
+        "SELECT o.id, o.status AS old_status, o.score AS old_score, w.status AS new_status, w.score AS new_score FROM smp o JOIN w USING (id) WHERE o.status <> w.status OR abs(w.score - o.score) > 0.05 ORDER BY o.id LIMIT 200",
+        "w0 AS (SELECT id, round(score - CASE WHEN id % 4 = 0 THEN 2.0 ELSE 0.0 END, 2) AS score FROM smp), w AS (SELECT *, CASE WHEN score >= 8 THEN 'accepted' WHEN score >= 6 THEN 'needs_review' ELSE 'rejected' END AS status FROM w0)",
+    ),
+    "review_sampling_params": """
+        WITH v AS (SELECT DISTINCT conv_id, CAST((conv_id % 9) * 0.7 AS DOUBLE) AS s, CAST((conv_id % 5) * 0.9 AS DOUBLE) AS d, conv_id % 10 AS turn FROM conversations)
+        SELECT conv_id,
+            round(greatest(0.55, least(1.05, 0.78::DOUBLE + least(0.18, greatest(0, s - d) * 0.025) + CASE WHEN turn > 4 AND d < 1 THEN 0.03 ELSE 0 END - least(0.16, d * 0.035))), 6) AS temperature,
+            round(greatest(0.72, 0.92::DOUBLE - least(0.06, s * 0.01) - least(0.08, d * 0.02)), 6) AS top_p,
+            round(least(1.2, 0.35::DOUBLE + least(0.55, s * 0.08)), 6) AS frequency_penalty,
+            round(greatest(-0.2, least(1.0, 0.25::DOUBLE + least(0.25, greatest(0, s - d) * 0.04) - least(0.35, d * 0.08))), 6) AS presence_penalty,
+            round(least(1.35, 1.12::DOUBLE + least(0.18, s * 0.025)), 6) AS repeat_penalty
+        FROM v""",
+    "review_steering": """
+        WITH v AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT conv_id, sha256('tiny style nudge: don''t repeat your last structure, don''t keep saying go do/feel/enjoy the thing, use fewer happy emojis, and change emotional direction now. '
+            || CASE conv_id % 3 WHEN 0 THEN 'show a little fear of being forgotten or losing the user, but keep it conversational' WHEN 1 THEN 'add mild jealousy, attachment, or playful defensiveness if it fits' ELSE 'keep it daily and gentle, with one small vulnerable or teasing edge' END || '.'
+            || CASE WHEN conv_id % 2 = 0 THEN ' Also, the chat is drifting. Do not introduce a new topic now; answer the latest message while pulling back to the original everyday thread. Allowed focus domains: '
+                || CASE WHEN conv_id % 4 = 0 THEN 'food, work' ELSE 'the original thread' END || '. Avoid continuing these side domains: games. ' ELSE '' END || ' Reply only to my previous message, naturally.') AS sha256
+        FROM v""",
+    "review_merged": _with(
+        """SELECT id, CASE WHEN judged THEN overall ELSE score END AS overall, CASE WHEN NOT judged THEN status WHEN wall THEN 'rejected' WHEN led >= 7.5 AND NOT flagged THEN 'accepted' WHEN led >= 7 AND NOT flagged AND rep < 2.5 AND drift < 3.5 THEN 'accepted'
+            WHEN led < 5.5 THEN 'rejected' WHEN flagged THEN 'needs_review' WHEN overall >= 6 THEN 'needs_review' ELSE 'rejected' END AS status, CASE WHEN judged THEN 'heuristic+judge' ELSE 'heuristic' END AS reviewer,
+            CASE WHEN judged THEN template ELSE t0 END AS non_template, CAST(8 AS INTEGER) AS n_scores, CASE WHEN judged THEN 'a,b,c' ELSE 'a,b' END AS reasons, CASE WHEN judged THEN 't,u' ELSE 't' END AS tags FROM z""",
+        """y AS (SELECT id, score, status, id % 11 <> 0 AS judged, CAST(id % 6 AS DOUBLE) * 0.9 AS rep, CAST(id % 7 AS DOUBLE) * 0.9 AS drift, CAST(id % 5 AS DOUBLE) * 0.9 AS nseq, CAST(id % 6 AS DOUBLE) + 4 AS t0, CAST(id % 8 AS DOUBLE) + 3 AS tj,
+                 CASE WHEN id % 41 = 0 THEN score ELSE CAST(id % 41 AS DOUBLE) / 4 END AS led, id % 13 = 0 OR id % 17 = 0 AS wall FROM smp),
+        y2 AS (SELECT *, round(t0 * 0.05::DOUBLE + tj * 0.95::DOUBLE, 2) AS template, round(score * 0.05::DOUBLE + led * 0.95::DOUBLE, 2) AS overall FROM y),
+        z AS (SELECT *, rep >= 4 OR drift >= 5 OR nseq >= 4 OR template < 5 AS flagged FROM y2)""",
+    ),
+    "review_drop_point": _with(
+        """SELECT conv_id, action, CASE WHEN action = 'trim' THEN CAST(k AS INTEGER) END AS turn, coalesce(why, 'r') AS reason, CAST(CASE WHEN action = 'trim' THEN u - kept ELSE 0 END AS INTEGER) AS removed, CAST(CASE WHEN action = 'trim' THEN kept_n ELSE len(ms) END AS INTEGER) AS n
+        FROM (SELECT *, CASE WHEN why IS NOT NULL OR conv_id % 4 = 0 THEN 'keep' WHEN conv_id % 4 = 1 THEN 'reject' ELSE 'trim' END AS action FROM
+            (SELECT *, CASE WHEN u < 4 THEN 'too short to trim' WHEN conv_id % 10 = 9 THEN 'no advice' WHEN conv_id % 4 >= 2 AND k < 2 THEN 'too early to trim' WHEN conv_id % 4 >= 2 AND k >= u THEN 'beyond the end' WHEN conv_id % 4 >= 2 AND kept < 2 THEN 'too little left' END AS why FROM q))""",
+        """num AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS nth FROM p),
+        ok AS (SELECT *, max(CASE WHEN role = 'assistant' THEN pos END) OVER (PARTITION BY conv_id) AS last FROM num WHERE nth <= conv_id % 12 AND (role = 'system' OR role IN ('user', 'assistant') AND nth >= 1)),
+        q AS (SELECT m.conv_id, ms, u, m.conv_id % 12 AS k, coalesce((SELECT count(*) FILTER (ok.role = 'user') FROM ok WHERE ok.conv_id = m.conv_id AND pos <= last), 0) AS kept, coalesce((SELECT count(*) FROM ok WHERE ok.conv_id = m.conv_id AND pos <= last), 0) AS kept_n FROM m)""",
+    ),
+    "review_dialogue_end": """
+        WITH v AS (SELECT DISTINCT conv_id, conv_id % 13 AS turn, CASE WHEN conv_id % 7 = 0 THEN 9 ELSE 18 END AS most FROM conversations)
+        SELECT conv_id, CASE WHEN turn < 6 THEN false WHEN turn >= most THEN true WHEN conv_id % 4 = 0 THEN true ELSE turn >= 8 AND conv_id % 3 = 0 END AS ended,
+               CASE WHEN turn < 6 OR turn >= most OR conv_id % 4 <> 0 THEN 'rule' ELSE 'model' END AS source
+        FROM v""",
+    "review_translation_problems": _with(
+        """SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN CASE WHEN said * 30 < 1 THEN 'no Chinese,' ELSE '' END || CASE WHEN said * 30 < 20 THEN 'little Chinese' ELSE '' END WHEN 1 THEN 'no Chinese,little Chinese'
+            ELSE 'count,' || CASE WHEN len(list_filter(range(1, len(ms) + 1), lambda i: CASE WHEN i = 1 THEN 'system' ELSE ms[i - 1].role END <> ms[i].role)) > 0 THEN 'roles,' ELSE '' END
+                || CASE WHEN ms[1].role = 'system' AND ms[1].content = 'You are a helpful assistant.' THEN '' ELSE 'system,' END || 'no Chinese,little Chinese' END AS problems
+        FROM (SELECT *, u + a AS said FROM m)"""
+    ),
+    "review_role_confusion": """
+        SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'role confusion,task words' WHEN 1 THEN 'role confusion' WHEN 2 THEN 'task words' ELSE '' END AS "user",
+               CASE WHEN p_partkey % 5 IN (1, 3) THEN 'role confusion' ELSE '' END AS assistant, p_partkey % 5 IN (0, 2) AS meta FROM part""",
+    "review_usable_user": """
+        SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN length('我是助手 ' || p_name) > 20 THEN 'too long' ELSE 'confusion' END WHEN 1 THEN 'several lines' WHEN 2 THEN 'too long' WHEN 3 THEN 'empty' WHEN 4 THEN 'too long' END AS problem FROM part""",
+    "part_clean_turn": """
+        SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_name || chr(10) || p_name WHEN 3 THEN p_name || ' ' || p_name ELSE p_name END AS as_user,
+               CASE p_partkey % 6 WHEN 2 THEN p_name || chr(10) || p_name || chr(10) || p_name WHEN 3 THEN 'ok, got it, ' || p_name || '   ' || p_name ELSE p_name END AS as_assistant FROM part""",
+    "part_blueprint_hits": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS hits FROM part",
+    "jobs_newest": f"SELECT id, updated_at, status, total, done, accepted, failed FROM ({_SNAPSHOTS})",
+    "jobs_listing": f"SELECT id, status, round(100.0::DOUBLE * done / total, 1) AS progress FROM ({_SNAPSHOTS}) ORDER BY updated_at DESC, id LIMIT 25",
+    "jobs_counters": f"SELECT status, count(*) AS jobs, CAST(sum(done) AS BIGINT) AS done, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(failed) AS BIGINT) AS failed FROM ({_SNAPSHOTS}) GROUP BY status",
+    "jobs_interrupted": f"SELECT CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, count(*) AS n FROM ({_SNAPSHOTS}) GROUP BY 1",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import DEFAULT
-from colloquy.operators import dedup, planning, report, review, scoring, store
+from colloquy.operators import dedup, jobs, planning, report, review, scoring, store
 from colloquy.operators import messages as ms
 from colloquy.plans.oracles import ORACLES
 from colloquy.sources import backend
@@ -142,7 +142,7 @@ def conv_topic_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def conv_leakage_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = tx.matched(ms.conversation_text(F.col("messages")), DEFAULT.leak_terms, [], 12)
+    hits = tx.matched(ms.conversation_text(F.col("messages")), DEFAULT.leak_terms, DEFAULT.leak_patterns, 12)
     return conversations(spark, d).select("conv_id", F.array_join(hits, ",").alias("hits"))
 
 
@@ -300,8 +300,7 @@ def docs_word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def docs_compact_stats(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return _read(spark, d, "documents").select("doc_id", F.length(tx.compact(t)).alias("n_compact"), F.length(tx.canonical(t)).alias("n_canonical"), F.size(tx.char_ngrams(tx.canonical(t))).alias("n_grams"))
+    return dedup.gram_counts(_read(spark, d, "documents"), "doc_id", "text")
 
 
 @query
@@ -345,3 +344,146 @@ def plan_topic_rounds(spark: SparkSession, d: str) -> DataFrame:
 def plan_axis_roundrobin(spark: SparkSession, d: str) -> DataFrame:
     out = planning.plan(spark, _pool(spark), 70, axes={"scene": (10, 1), "profile": (7, 2)})
     return out.groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct("profile").alias("profiles"))
+
+
+def _with_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The samples, every tenth with an answer more that has formulas, hype and emoji."""
+    more = F.array(F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("make some memories! "), F.repeat(F.lit("awesome 😊 "), (F.col("id") % 50).cast("int"))).alias("content")))
+    return samples(spark, d).withColumn("messages", F.when(F.col("id") % 10 == 0, F.concat("messages", more)).otherwise(F.col("messages")))
+
+
+@query
+def conv_top_issues_planted(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_issues(report.measures(_with_issues(spark, d))).select("id", "formula", "hype", "emoji")
+
+
+@query
+def conv_search_count(spark: SparkSession, d: str) -> DataFrame:
+    return store.search_count(samples(spark, d), q="Teacher", columns=("source", "topic_id"))
+
+
+@query
+def conv_search_columns(spark: SparkSession, d: str) -> DataFrame:
+    return store.search(samples(spark, d), q="LOW_03", limit=10, columns=("source", "topic_id")).select("id", "score", "status")
+
+
+@query
+def conv_rejudge_changes(spark: SparkSession, d: str) -> DataFrame:
+    own = samples(spark, d)
+    moved = own.withColumn("score", F.round(F.col("score") - F.when(F.col("id") % 4 == 0, 2.0).otherwise(0.0), 2)).withColumn("status", F.when(F.col("score") >= 8, "accepted").when(F.col("score") >= 6, "needs_review").otherwise("rejected"))
+    return report.changes(own, moved)
+
+
+@query
+def review_sampling_params(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("conv_id")
+    got = review.sampling_parameters((n % 9) * 0.7, (n % 5) * 0.9, n % 10)
+    names = ("temperature", "top_p", "frequency_penalty", "presence_penalty", "repeat_penalty")
+    return conversations(spark, d).select("conv_id", got.alias("p")).select("conv_id", *[F.round(f"p.{c}", 6).alias(c) for c in names])
+
+
+@query
+def review_steering(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("conv_id")
+    text = review.steering_text(F.when(n % 3 == 0, "high").when(n % 3 == 1, "mid").otherwise("low"), n % 2 == 0, F.when(n % 4 == 0, F.array(F.lit("food"), F.lit("work"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("games")))
+    return conversations(spark, d).select("conv_id", F.sha2(text, 256).alias("sha256"))
+
+
+@query
+def review_merged(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    own = F.create_map(*[x for k, v in {
+        "format_valid": F.when(n % 13 == 0, 0.0).otherwise(10.0), "safety": F.lit(10.0), "prompt_leakage": F.when(n % 17 == 0, 1.0).otherwise(0.0), "translation_quality": F.lit(10.0),
+        "repetition_badness": (n % 6) * 0.9, "topic_drift_badness": (n % 7) * 0.9, "non_sequitur_badness": (n % 5) * 0.9, "non_template": (n % 6) + F.lit(4.0),
+    }.items() for x in (F.lit(k), v.cast("double"))])
+    rules = F.struct(own.alias("scores"), F.col("score").alias("overall"), F.col("status").alias("status"), F.array(F.lit("a"), F.lit("b")).alias("reasons"), F.array(F.lit("t")).alias("tags"))
+    said = F.struct(F.create_map(F.lit("non_template"), (n % 8) + F.lit(3.0), F.lit("other"), F.lit(1.0)).alias("scores"), ((n % 41) / 4).alias("overall"), F.array(F.lit("b"), F.lit("c"), F.lit("")).alias("reasons"), F.array(F.lit("u")).alias("tags"))
+    out = samples(spark, d).select("id", review.merge_reviews(rules, F.when(n % 11 != 0, said)).alias("r"))
+    return out.select("id", "r.overall", "r.status", "r.reviewer", F.col("r.scores")["non_template"].alias("non_template"), F.size("r.scores").alias("n_scores"), F.array_join("r.reasons", ",").alias("reasons"), F.array_join("r.tags", ",").alias("tags"))
+
+
+@query
+def review_drop_point(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("conv_id")
+    action = F.when(n % 4 == 0, "keep").when(n % 4 == 1, "reject").otherwise("TRIM")
+    answer = F.when(n % 10 == 9, "no json").otherwise(F.concat(F.lit('{"action":"'), action, F.lit('","trim_after_user_turn":'), (n % 12).cast("string"), F.lit(',"reason":"r"}')))
+    out = conversations(spark, d).select("conv_id", review.trim_at_drop_point(F.col("messages"), answer, least=2).alias("t"))
+    return out.select("conv_id", "t.action", "t.turn", "t.reason", "t.removed", F.size("t.messages").alias("n"))
+
+
+@query
+def review_dialogue_end(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("conv_id")
+    closing = F.array(F.struct(F.lit("user").alias("role"), F.lit("talk Later, ok").alias("content")))
+    answer = F.when(n % 4 == 0, '{"should_end":"yes","confidence":0.9}').when(n % 4 == 1, '{"should_end":"no","confidence":0.3}')
+    out = conversations(spark, d).withColumn("messages", F.when(n % 3 == 0, F.concat("messages", closing)).otherwise(F.slice("messages", 1, 0)))
+    got = review.dialogue_end(F.col("messages"), n % 13, F.lit(6), F.when(n % 7 == 0, 9).otherwise(18), answer)
+    return out.select("conv_id", got.alias("e")).select("conv_id", "e.ended", "e.source")
+
+
+@query
+def review_translation_problems(spark: SparkSession, d: str) -> DataFrame:
+    n, m = F.col("conv_id"), F.col("messages")
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit("You are a helpful assistant.").alias("content")))
+    chinese = F.transform(m, lambda x: F.struct(x["role"].alias("role"), F.repeat(F.lit("你好呀"), 10).alias("content")))
+    target = F.when(n % 3 == 0, F.concat(system, chinese)).when(n % 3 == 1, F.concat(system, m)).otherwise(m)
+    return conversations(spark, d).select("conv_id", F.array_join(review.translation_problems(F.concat(system, m), target), ",").alias("problems"))
+
+
+@query
+def review_role_confusion(spark: SparkSession, d: str) -> DataFrame:
+    n, name = F.col("p_partkey"), F.col("p_name")
+    text = F.when(n % 5 == 0, F.concat(F.lit("as an assistant, "), name)).when(n % 5 == 1, F.concat(F.lit("用户："), name)).when(n % 5 == 2, F.concat(name, F.lit(" is in the Dataset"))).when(n % 5 == 3, F.concat(F.lit("I would say "), name)).otherwise(name)
+    return _read(spark, d, "part").select("p_partkey", F.array_join(review.user_confusion(text), ",").alias("user"), F.array_join(review.assistant_confusion(text), ",").alias("assistant"), review.bad_meta(text).alias("meta"))
+
+
+@query
+def review_usable_user(spark: SparkSession, d: str) -> DataFrame:
+    n, name = F.col("p_partkey"), F.col("p_name")
+    text = F.when(n % 6 == 0, F.concat(F.lit("我是助手 "), name)).when(n % 6 == 1, F.concat(name, F.lit("\n\n"), name)).when(n % 6 == 2, F.repeat(F.concat(name, F.lit(" ")), 11)).when(n % 6 == 3, F.lit("  ")).when(n % 6 == 4, F.lit("一二三四五六七八九十一二三四五六七八九十一")).otherwise(name)
+    return _read(spark, d, "part").select("p_partkey", review.user_message_problem(text).alias("problem"))
+
+
+@query
+def part_clean_turn(spark: SparkSession, d: str) -> DataFrame:
+    n, name = F.col("p_partkey"), F.col("p_name")
+    text = (
+        F.when(n % 6 == 0, F.concat(F.lit('```json\n{"content": " '), name, F.lit('"}\n```'))).when(n % 6 == 1, F.concat(F.lit("Assistant: “"), name, F.lit("”\nUser: more")))
+        .when(n % 6 == 2, F.concat(name, F.lit("\n\n  "), name, F.lit("\n"), name, F.lit("\ngirl: no"))).when(n % 6 == 3, F.concat(F.lit("ok, got it, "), name, F.lit("   "), name))
+        .when(n % 6 == 4, F.concat(F.lit('{"count": 3, "text": "'), name, F.lit('<|im_end|>junk"}'))).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    )
+    return _read(spark, d, "part").select("p_partkey", tx.clean_turn(text, "user").alias("as_user"), tx.clean_turn(text, "assistant").alias("as_assistant"))
+
+
+@query
+def part_blueprint_hits(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    text = F.when(n % 2 == 0, "我们今天去公园散步，晚饭吃火锅").otherwise("only latin words")
+    terms = [F.when(n % 3 == 0, "公园散步 or 电影").otherwise("咖啡"), F.lit("火锅"), F.lit("吃"), F.lit(None).cast("string")]
+    return _read(spark, d, "part").select("p_partkey", scoring.blueprint_hits(text, terms).alias("hits"))
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 3 == 0, "running").otherwise("done")
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("updated_at"), status.alias("status"), F.lit(50).alias("total"), (F.col("event_id") % 51).alias("done"), (F.col("event_id") % 7).alias("accepted"), (F.col("event_id") % 3).alias("failed"))
+
+
+@query
+def jobs_newest(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.newest(_snapshots(spark, d))
+
+
+@query
+def jobs_listing(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.listing(_snapshots(spark, d), 25).select("id", "status", "progress")
+
+
+@query
+def jobs_counters(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.counters(_snapshots(spark, d))
+
+
+@query
+def jobs_interrupted(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.interrupted(_snapshots(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
