@@ -20,6 +20,7 @@ import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,11 @@ class Index:
         self.post_items = np.zeros((len(self.post_key), _BLOCK))
         self.post_items[place, [r[1] for r in rows]] = [r[2] for r in rows]
         self.post_max = self.post_items.max(1, initial=0)
+        # a table of all terms and blocks finds postings faster, where it is small
+        size = len(self.term) * self.n_blocks
+        self.table = np.full(size if size <= 1 << 22 else 0, -1, np.int32)
+        if len(self.table):
+            self.table[self.post_key] = np.arange(len(self.post_key))
         of_term = self.post_key // self.n_blocks
         self.starts = np.searchsorted(of_term, np.arange(len(self.term)))
         self.sizes = np.bincount(of_term, minlength=len(self.term))
@@ -185,9 +191,13 @@ class Index:
             slot = np.repeat(np.arange(len(part)), size)
             at = np.repeat(begin[where] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             key = term[at] * self.n_blocks + which[slot]
-            found = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
-            hit = self.post_key[found] == key
+            found = self._find(key)
+            hit = found >= 0
             slot, found = slot[hit], found[hit]
+            # with all lists looked up the bound is that of the block itself
+            full = np.bincount(slot, weights=self.post_max[found], minlength=len(part)) + 1e-9 >= self.block_least[which]
+            rank, keep = np.cumsum(full) - 1, full[slot]
+            slot, found, where, which, part = rank[slot[keep]], found[keep], where[full], which[full], part[full]
             score = np.stack([np.bincount(slot, weights=self.post_items[found, j], minlength=len(part)) for j in range(_BLOCK)], 1)
             item = which[:, None] * _BLOCK + np.arange(_BLOCK)
             ok = item < len(self.ids)
@@ -195,6 +205,13 @@ class Index:
             out.append(np.stack([np.broadcast_to(where[:, None], item.shape)[ok], item[ok]], 1))
         return np.concatenate([*out, np.empty((0, 2), np.int64)])
 
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The posting of each term and block, -1 where there is none."""
+        if len(self.table):
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
+        return np.where(self.post_key[at] == key, at, -1)
+
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items that it holds, each with its best window."""
         found: list[dict[int, dict]] = [{} for _ in texts]
@@ -222,7 +239,7 @@ class Index:
 
         for doc, text in enumerate(texts):
             words = terms(text)
-            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             at = np.flatnonzero(ids >= 0)
             if not len(at):
                 continue
