@@ -110,7 +110,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     special tokens. A null or empty text has no ids and decodes to nothing. Ids and rows may repeat or be null, a
     row for each comes back. Other columns are not read.
     """
-    blocks = wordblocks.build(docs, F.col(id_col), F.col(text_col), F.lit(False), label="bpe")
+    blocks = wordblocks.build(docs, F.col(id_col), F.col(text_col), F.lit(False), label="bpe", block_bytes=12_000_000)
     schema = f"doc_id {blocks.key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
     answers = blocks.look_up(_answers(path), "block long, bucket int, ids binary, sizes binary")
 

@@ -26,6 +26,8 @@ _MARK = np.isin(np.arange(256), list(_MARKS))
 #: Buckets for words and for character trigrams; bytes that are hashed at once.
 WORDS = TRIGRAMS = 192
 _PIECE = 1 << 20
+#: Texts that are measured at once.
+_ROWS = 512
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[_DIGIT] = ord("0")
 _FOLD[_SPACE] = 32
@@ -142,8 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, *, m
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
+            for s in range(0, len(batch), _ROWS):
+                part = batch.slice(s, _ROWS)
+                x = _matrix(part.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.string()), part.column("_y"), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
     got = rows.mapInArrow(measure, "id string, y int, x binary").orderBy("id", "y", "x").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, _D)
@@ -162,7 +166,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            own = sent.value.scores(_matrix(batch.column(text_col).to_pylist())) if len(batch) else np.empty(0)
+            parts = (batch.column(text_col).slice(s, _ROWS).to_pylist() for s in range(0, len(batch), _ROWS))
+            own = np.concatenate([*(sent.value.scores(_matrix(p)) for p in parts), np.empty(0)])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(own, pa.float64())], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
