@@ -103,14 +103,15 @@ def _answers(path: str):  # noqa: ANN202
     return answer
 
 
-def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, block_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with texts also ids and decoded themselves.
 
     ids are those of the tokenizer file at path, without added special tokens, truncation or padding; decoding keeps
     special tokens. A null or empty text has no ids and decodes to nothing. Ids and rows may repeat or be null, a
-    row for each comes back. Other columns are not read.
+    row for each comes back. Other columns are not read. block_bytes is the text that a worker holds at once: smaller
+    blocks take less memory, and more disk for words that blocks share. An empty table gives no rows.
     """
-    blocks = wordblocks.build(docs, F.col(id_col), F.col(text_col), F.lit(False), label="bpe", block_bytes=12_000_000)
+    blocks = wordblocks.build(docs, F.col(id_col), F.col(text_col), F.lit(False), label="bpe", block_bytes=block_bytes)
     schema = f"doc_id {blocks.key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
     answers = blocks.look_up(_answers(path), "block long, bucket int, ids binary, sizes binary")
 
