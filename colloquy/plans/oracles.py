@@ -272,4 +272,9 @@ ORACLES: dict[str, str] = {
     "jobs_listing": f"SELECT id, status, round(100.0::DOUBLE * done / total, 1) AS progress FROM ({_SNAPSHOTS}) ORDER BY updated_at DESC, id LIMIT 25",
     "jobs_counters": f"SELECT status, count(*) AS jobs, CAST(sum(done) AS BIGINT) AS done, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(failed) AS BIGINT) AS failed FROM ({_SNAPSHOTS}) GROUP BY status",
     "jobs_interrupted": f"SELECT CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, count(*) AS n FROM ({_SNAPSHOTS}) GROUP BY 1",
+    "part_stop_lists": """
+        WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN list_concat(string_split(p_name, ' '), ['', 'User:', string_split(p_name, ' ')[1], 'Human:']) ELSE [] END AS l FROM part),
+        o AS (SELECT p_partkey, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS own FROM s)
+        SELECT p_partkey, array_to_string(CASE WHEN len(own) <= 3 THEN own
+                   ELSE list_concat(list_filter(['Human:', 'User:', 'AI:'], lambda y: list_contains(own, y)), list_filter(own, lambda y: y NOT IN ('Human:', 'User:', 'AI:')))[1:3] END, '|') AS stops FROM o""",
 }

@@ -487,3 +487,10 @@ def jobs_counters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def jobs_interrupted(spark: SparkSession, d: str) -> DataFrame:
     return jobs.interrupted(_snapshots(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def part_stop_lists(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    stops = F.when(F.col("p_partkey") % 7 > 0, F.concat(words, F.array(F.lit(""), F.lit("User:"), words[0], F.lit("Human:"))))
+    return _read(spark, d, "part").select("p_partkey", F.array_join(backend.stop_list(stops, ("Human:", "User:", "AI:"), 3), "|").alias("stops"))

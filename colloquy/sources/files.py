@@ -24,21 +24,36 @@ def write_mirrors(samples: DataFrame, path: str) -> None:
     samples.withColumn("folder", folder(F.col("status"))).write.mode("overwrite").partitionBy("folder").json(path)
 
 
+def _scan(spark: SparkSession, path: str, multiline: bool, glob: str) -> DataFrame:
+    raw = spark.read.schema(f"{SAMPLE}, folder string, _corrupt string").option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", glob).option("recursiveFileLookup", False).json(path)
+    return raw.select("*", F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_path").alias("scan"))
+
+
 def read_mirrors(spark: SparkSession, path: str, *, multiline: bool = False, glob: str = "*.json") -> DataFrame:
     """All samples of the status folders, the newest file's for each id. Corrupt files are left out; a missing status follows
     from the folder, other missing fields get defaults."""
-    raw = spark.read.schema(f"{SAMPLE}, folder string, _corrupt string").option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", glob).option("recursiveFileLookup", False).json(path)
-    raw = raw.select("*", F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_path").alias("scan"))
-    good = raw.where(F.col("_corrupt").isNull() & F.col("id").isNotNull())
+    good = _scan(spark, path, multiline, glob).where(F.col("_corrupt").isNull() & F.col("id").isNotNull())
     by_folder = F.when(F.col("folder") == "reviewed", "accepted").when(F.col("folder") == "rejected", "rejected").otherwise("needs_review")
     filled = good.withColumns({"status": F.when(F.col("status").isin(*store.STATUSES), F.col("status")).otherwise(by_folder), "score": F.coalesce("score", F.lit(0.0)), "source": F.coalesce("source", F.lit("teacher")), "messages": F.coalesce("messages", F.array().cast(MESSAGES))})
     return store.newest_per_id(filled).drop("mtime", "scan", "_corrupt", "folder")
 
 
-def rebuild(spark: SparkSession, mirrors: str, table: str) -> DataFrame:
-    """Write the sample table anew from the mirrors; counts by status come back."""
+def unread_mirrors(spark: SparkSession, path: str, *, multiline: bool = False, glob: str = "*.json") -> DataFrame:
+    """What read_mirrors leaves out: the fields that could be read, the raw record in `_corrupt` where it is broken, and its file in `scan`."""
+    return _scan(spark, path, multiline, glob).where(F.col("_corrupt").isNotNull() | F.col("id").isNull())
+
+
+def rebuild(spark: SparkSession, mirrors: str, table: str, *, aside: str | None = None) -> DataFrame:
+    """Write the sample table anew from the mirrors; counts by status come back.
+
+    Records that cannot be read are set aside under `aside`, beside the table by default. An id that is there twice is an error.
+    """
+    unread_mirrors(spark, mirrors).write.mode("overwrite").parquet(aside or f"{table.rstrip('/')}_corrupt")
     store.with_hash(read_mirrors(spark, mirrors)).write.mode("overwrite").parquet(table)
-    return spark.read.parquet(table).groupBy("status").count()
+    written = spark.read.parquet(table)
+    if not written.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError(f"{table}: an id is there more than once")
+    return written.groupBy("status").count()
 
 
 def write_jsonl(rows: DataFrame, path: str, *, one_file: bool = False) -> None:
@@ -56,8 +71,12 @@ def write_training_sets(samples: DataFrame, path: str, **options: object) -> Non
     rows.select("id", "conversations", "metadata").write.mode("overwrite").json(f"{path}/sharegpt")
 
 
-def write_notebook(path: str | Path, *, model: str, mode: str = "qlora", dataset: str = "train_chatml.jsonl", modes: tuple[str, ...] = ("qlora", "lora", "full")) -> Path:
-    """An nbformat-4 notebook that fine-tunes `model` on the exported set."""
+def write_notebook(path: str | Path, *, model: str, mode: str = "qlora", dataset: str = "train_chatml.jsonl", modes: tuple[str, ...] = ("qlora", "lora", "full"), targets: dict[str, str] | None = None) -> Path:
+    """An nbformat-4 notebook that fine-tunes `model` on the exported set. With targets, `model` is one of their names."""
+    if targets is not None:
+        if model not in targets:
+            raise ValueError(f"model must be one of {', '.join(targets)}")
+        model = targets[model]
     if mode not in modes:
         raise ValueError(f"mode must be one of {', '.join(modes)}")
     cell = lambda kind, text: {"cell_type": kind, "metadata": {}, "source": text.splitlines(keepends=True)} | ({"outputs": [], "execution_count": None} if kind == "code" else {})

@@ -175,3 +175,48 @@ def test_stream_dedup(spark, tmp_path):
         query = dedup_stream(stream, f"{tmp_path}/seen", f"{tmp_path}/out", f"{tmp_path}/check")
         query.awaitTermination(120)
         assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [[1, 3], [1, 3, 5]][n]
+
+
+def test_records_that_cannot_be_read_are_set_aside(spark, tmp_path):
+    (tmp_path / "m" / "folder=raw").mkdir(parents=True)
+    (tmp_path / "m" / "folder=raw" / "a.json").write_text('{"id": "x", "score": 2.0}\n{"id": "y", "sco\n{"score": 1.0}\n')
+    assert {r["status"]: r["count"] for r in files.rebuild(spark, f"{tmp_path}/m", f"{tmp_path}/t").collect()} == {"needs_review": 1}
+    aside = spark.read.parquet(f"{tmp_path}/t_corrupt").collect()
+    assert sorted(str(r["_corrupt"]) for r in aside) == ["None", '{"id": "y", "sco'] and all(r.scan.endswith("a.json") for r in aside)
+
+
+def test_notebook_targets(tmp_path):
+    known = {"small": "org/small-8b"}
+    assert "org/small-8b" in files.write_notebook(tmp_path / "n.ipynb", model="small", targets=known).read_text()
+    with pytest.raises(ValueError, match="small"):
+        files.write_notebook(tmp_path / "n.ipynb", model="other", targets=known)
+
+
+def test_failed_requests_say_why(spark):
+    def odd(messages):
+        if not messages:
+            raise RuntimeError("nothing said")
+        return ""
+
+    got = {r.id: (r.answer, r.why) for r in backend.complete(frame(spark, talk((U, "a")), []), "messages", odd, error="why").collect()}
+    assert got == {0: ("", None), 1: (None, "RuntimeError: nothing said")}
+
+
+def test_refused_connections_are_tried_again(monkeypatch):
+    tried = []
+
+    def refuse(*_, **__):
+        tried.append(1)
+        raise backend.urllib.error.URLError("refused")
+
+    monkeypatch.setattr(backend.urllib.request, "urlopen", refuse)
+    with pytest.raises(backend.urllib.error.URLError):
+        backend.HttpBackend("http://localhost:1/v1", "m", retries=2, backoff=0.0)([])
+    assert len(tried) == 3
+
+
+def test_stop_lists(spark):
+    rows = [(1, ["a", "", "b", "a"]), (2, ["c", "b", "a", "d"]), (3, None)]
+    df = spark.createDataFrame(rows, "i int, s array<string>")
+    assert {r.i: r.v for r in df.select("i", backend.stop_list(F.col("s"), ("a", "z"), 2).alias("v")).collect()} == {1: ["a", "b"], 2: ["a", "c"], 3: []}
+    assert {r.i: r.v for r in df.select("i", backend.stop_list(F.col("s"), limit=0).alias("v")).collect()} == {1: [], 2: [], 3: []}
