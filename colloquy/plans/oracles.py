@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from colloquy.functions import lexicons as lx
 
 _SPACE = r"\s\x{1C}-\x{1F}\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -115,6 +117,18 @@ _DRIFT = f"""{_DIALOGUE},
     un AS (SELECT conv_id, list(domain ORDER BY domain) AS ds FROM dom WHERE domain NOT IN ('social', 'emotion_attachment', 'ai_relationship', 'work') GROUP BY conv_id),
     run AS (SELECT conv_id, list(domain ORDER BY domain) AS ds FROM rdom WHERE domain NOT IN ('social', 'emotion_attachment', 'ai_relationship', 'work') GROUP BY conv_id)"""
 
+_NAT_VALUE = f"""CASE WHEN {_strip('utxt')} = '' OR u <= 0 THEN 0.0 ELSE greatest(0.0, least(10.0, 4.5 + least(2.0, ({_NAT_MARKERS}) * 0.35) + least(0.5, {_EMOJI('utxt')} * 0.18)
+            + CASE WHEN {_NAT_BREAKS} >= greatest(1, u // 2) THEN 1.0 ELSE 0.5 END + least(1.2, CAST(short AS DOUBLE) / greatest(1, lines) * 1.2)
+            + CASE WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) BETWEEN 3 AND 60 THEN 0.8 WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) > 80 THEN -1.2 ELSE 0.0 END
+            - least(2.5, ({_NAT_FORMAL}) * 0.8) - least(4.5, ({_NAT_META}) * 1.2 + ({_count('utxt', '你：')} + {_count('utxt', '对方：')} + {_count('lower(utxt)', 'assistant')}) * 1.0))) END"""
+_NAT_FROM = f"""ln AS (SELECT conv_id, {_strip('unnest(string_split_regex(utxt, chr(10)))')} AS l FROM m),
+    cnt AS (SELECT conv_id, count(*) FILTER (l <> '') AS lines, count(*) FILTER (l <> '' AND CASE WHEN regexp_matches(l, '[A-Za-z]') THEN len(regexp_extract_all(l, '\\S+')) <= 20 ELSE length(l) <= 20 END) AS short FROM ln GROUP BY conv_id),
+    nat AS (SELECT m.*, coalesce(lines, 0) AS lines, coalesce(short, 0) AS short FROM m LEFT JOIN cnt USING (conv_id))"""
+_NSEQ_VALUE = "CASE WHEN coalesce(n, 0) >= 4 AND coalesce(v, 0) >= 4 AND miss >= 4 AND CAST(miss AS DOUBLE) / v >= 0.6 THEN least(8.0, (CAST(miss AS DOUBLE) / v - 0.5) * 16) ELSE 0.0 END"
+_NSEQ_FROM = f"""{_PAIRS},
+    val AS (SELECT conv_id, {_TOKENS('content')} AS ut, {_TOKENS("c2")} AS aw, {_strip('content')} AS uv, {_strip('c2')} AS av FROM adj WHERE role = 'user' AND r2 = 'assistant'),
+    g AS (SELECT conv_id, count(*) AS v, count(*) FILTER (CAST(len(list_intersect(ut, aw)) AS DOUBLE) / len(ut) < 0.15 AND len(list_intersect(ut, aw)) < 2 AND NOT ({_OPENERS}) AND NOT contains(av, '?') AND NOT contains(av, '？') AND length(av) >= 8) AS miss
+          FROM val WHERE uv <> '' AND av <> '' AND len(ut) > 0 GROUP BY conv_id)"""
 _SNAPSHOTS = """SELECT user_id AS id, event_id AS updated_at, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 3 = 0 THEN 'running' ELSE 'done' END AS status, CAST(50 AS INTEGER) AS total,
     event_id % 51 AS done, event_id % 7 AS accepted, event_id % 3 AS failed FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
 
@@ -141,22 +155,11 @@ ORACLES: dict[str, str] = {
         f"cc AS (SELECT conv_id, {_compact('txt')} AS c FROM m)",
     ),
     "conv_nonsequitur": _with(
-        """SELECT m.conv_id, CASE WHEN coalesce(n, 0) >= 4 AND coalesce(v, 0) >= 4 AND miss >= 4 AND CAST(miss AS DOUBLE) / v >= 0.6 THEN round(least(8.0, (CAST(miss AS DOUBLE) / v - 0.5) * 16), 4) ELSE 0.0 END AS badness
+        f"""SELECT m.conv_id, round({_NSEQ_VALUE}, 4) AS badness
         FROM m LEFT JOIN (SELECT conv_id, count(*) AS n FROM dlg GROUP BY conv_id) USING (conv_id) LEFT JOIN g USING (conv_id)""",
-        f"""{_PAIRS},
-        val AS (SELECT conv_id, {_TOKENS('content')} AS ut, {_TOKENS("c2")} AS aw, {_strip('content')} AS uv, {_strip('c2')} AS av FROM adj WHERE role = 'user' AND r2 = 'assistant'),
-        g AS (SELECT conv_id, count(*) AS v, count(*) FILTER (CAST(len(list_intersect(ut, aw)) AS DOUBLE) / len(ut) < 0.15 AND len(list_intersect(ut, aw)) < 2 AND NOT ({_OPENERS}) AND NOT contains(av, '?') AND NOT contains(av, '？') AND length(av) >= 8) AS miss
-              FROM val WHERE uv <> '' AND av <> '' AND len(ut) > 0 GROUP BY conv_id)""",
-    ),
-    "conv_human_naturalness": _with(
-        f"""SELECT conv_id, CASE WHEN {_strip('utxt')} = '' OR u <= 0 THEN 0.0 ELSE round(greatest(0.0, least(10.0, 4.5 + least(2.0, ({_NAT_MARKERS}) * 0.35) + least(0.5, {_EMOJI('utxt')} * 0.18)
-            + CASE WHEN {_NAT_BREAKS} >= greatest(1, u // 2) THEN 1.0 ELSE 0.5 END + least(1.2, CAST(short AS DOUBLE) / greatest(1, lines) * 1.2)
-            + CASE WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) BETWEEN 3 AND 60 THEN 0.8 WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) > 80 THEN -1.2 ELSE 0.0 END
-            - least(2.5, ({_NAT_FORMAL}) * 0.8) - least(4.5, ({_NAT_META}) * 1.2 + ({_count('utxt', '你：')} + {_count('utxt', '对方：')} + {_count('lower(utxt)', 'assistant')}) * 1.0))), 4) END AS naturalness FROM nat""",
-        f"""ln AS (SELECT conv_id, {_strip('unnest(string_split_regex(utxt, chr(10)))')} AS l FROM m),
-        cnt AS (SELECT conv_id, count(*) FILTER (l <> '') AS lines, count(*) FILTER (l <> '' AND CASE WHEN regexp_matches(l, '[A-Za-z]') THEN len(regexp_extract_all(l, '\\S+')) <= 20 ELSE length(l) <= 20 END) AS short FROM ln GROUP BY conv_id),
-        nat AS (SELECT m.*, coalesce(lines, 0) AS lines, coalesce(short, 0) AS short FROM m LEFT JOIN cnt USING (conv_id))""",
+        _NSEQ_FROM,
     ),
+    "conv_human_naturalness": _with(f"SELECT conv_id, round({_NAT_VALUE}, 4) AS naturalness FROM nat", _NAT_FROM),
     "conv_topic_domains": _with("SELECT conv_id, domain, hits FROM dom", _DRIFT),
     "conv_topic_drift": _with(
         """SELECT m.conv_id, round(CAST(CASE WHEN coalesce(len(run.ds), 0) >= 2 THEN 2.2 + 0.35 * len(run.ds) WHEN coalesce(len(run.ds), 0) = 1 AND full_.n >= 8 THEN 0.8 ELSE 0.0 END
@@ -278,3 +281,75 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, array_to_string(CASE WHEN len(own) <= 3 THEN own
                    ELSE list_concat(list_filter(['Human:', 'User:', 'AI:'], lambda y: list_contains(own, y)), list_filter(own, lambda y: y NOT IN ('Human:', 'User:', 'AI:')))[1:3] END, '|') AS stops FROM o""",
 }
+
+
+def _doubles(sql: str) -> str:
+    """sql with its decimal fractions as doubles, so that sums are those of column expressions."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"CAST(\1 AS DOUBLE)", sql)
+
+
+def _half_up(c: str) -> str:
+    """c to two places, ties of its shortest decimal form away from zero."""
+    return f"CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)"
+
+
+def _hits(c: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({c}, {_q(t)}) AS INTEGER)" for t in terms) + ")"
+
+
+def _pattern_hits(c: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(regexp_matches({c}, {_q('(?i)' + x)}) AS INTEGER)" for x in patterns) + ")"
+
+
+def _repetition(c: str) -> str:
+    return f"CASE WHEN length({c}) < 16 THEN 0.0 ELSE 1.0 - CAST(len(list_distinct(list_transform(range(1, length({c}) - 2), lambda i: substr({c}, i, 4)))) AS DOUBLE) / (length({c}) - 3) END"
+
+
+_POSITIVE = ["format_valid", "relevance", "source_style_strength", "human_naturalness", "coherence", "emotion_arc", "non_template", "safety", "training_value", "translation_quality"]
+_LEAK_LIST = "[" + ", ".join([*(f"CASE WHEN contains(lower(txt), {_q(t.lower())}) THEN {_q(t)} END" for t in lx.LEAK_TERMS), *(f"CASE WHEN regexp_matches(txt, {_q('(?i)' + x)}) THEN {_q(x)} END" for x in lx.LEAK_PATTERNS)]) + "]"
+_RUNS = "coalesce(len(run.ds), 0)"
+_SCORES = f""",
+    {_NSEQ_FROM.removeprefix(_DIALOGUE + ',')},
+    {_NAT_FROM},
+    nv AS (SELECT conv_id, {_NAT_VALUE} AS human_naturalness FROM nat),
+    sv AS (SELECT m.conv_id, {_NSEQ_VALUE} AS nseq FROM m LEFT JOIN full_ USING (conv_id) LEFT JOIN g USING (conv_id)),
+    dv AS (
+        SELECT m.conv_id, least(10.0, {_half_up(f"(CASE WHEN {_RUNS} >= 2 THEN 2.2 + {_RUNS} * 0.35 WHEN {_RUNS} = 1 AND full_.n >= 8 THEN 0.8 ELSE 0.0 END + CASE WHEN coalesce(seen, 0) >= 5 AND entropy >= 1.75 THEN 1.4 ELSE 0.0 END + CASE WHEN coalesce(len(un.ds), 0) >= 3 THEN 1.2 ELSE 0.0 END)")} * 1.8) AS drift
+        FROM m LEFT JOIN full_ USING (conv_id) LEFT JOIN agg USING (conv_id) LEFT JOIN un ON un.conv_id = m.conv_id LEFT JOIN run ON run.conv_id = m.conv_id
+    ),
+    cpt AS (SELECT conv_id, {_compact('txt')} AS cw, {_compact('atxt')} AS ca FROM m),
+    rv AS (
+        SELECT conv_id, greatest(0.0, least(10.0, CASE WHEN w > 0.42 THEN least(5.0, (w - 0.42) * 16) ELSE 0.0 END + CASE WHEN a > 0.38 THEN least(5.0, (a - 0.38) * 18) ELSE 0.0 END)) AS rep
+        FROM (SELECT conv_id, {_repetition('cw')} AS w, {_repetition('ca')} AS a FROM cpt)
+    ),
+    hit AS (
+        SELECT f.*, least(u, a) AS lo, least(len(list_distinct(list_filter({_LEAK_LIST}, lambda x: x IS NOT NULL))), 12) AS leak, {_hits('atxt', lx.STYLE)} AS style, {_pattern_hits('atxt', lx.EDGE)} AS edge, {_EMOJI('txt')} AS emoji,
+               {_FORMULA('atxt')} AS formulas, {_marker_count('txt', lx.HYPE)} AS hypes, {_marker_count('atxt', lx.VULNERABILITY)} AS vuln, {_hits('lower(txt)', [t.lower() for t in lx.TEMPLATES])} AS tmpl,
+               {_hits('atxt', lx.ASSISTANT_TEMPLATES)} AS atmpl, {_pattern_hits('txt', lx.DANGER)} AS danger, {_hits('txt', lx.EMOTION_WORDS)} AS emotion, contains(txt, '?') OR contains(txt, '？') AS asks
+        FROM f
+    ),
+    h2 AS (
+        SELECT *, CASE WHEN vuln = 0 THEN greatest(0.0, (hypes - greatest(6, lo)) * 0.25) ELSE 0.0 END AS hype, emoji > greatest(18, floor(lo * 2.5)) AS crowded, least(4.0, formulas * 0.85) AS formula,
+               10.0 AS format_valid, CASE WHEN danger > 0 THEN 0.0 ELSE 10.0 END AS safety, 10.0 AS translation_quality
+        FROM hit JOIN nv USING (conv_id) JOIN sv USING (conv_id) JOIN dv USING (conv_id) JOIN rv USING (conv_id)
+    ),
+    s1 AS (
+        SELECT *, greatest(0.0, least(10.0, 7.0 + style * 0.30 + edge * 0.55 + least(0.6, vuln * 0.15) + 0.0 + least(0.4, emoji * 0.08) - formula - hype)) AS source_style_strength,
+               greatest(0.0, least(10.0, 6.1 - drift * 0.45)) AS relevance,
+               greatest(0.0, least(10.0, 10.0 - tmpl * 1.8 - atmpl * 2.0 - leak * 3.0 - rep * 0.9 - formulas * 1.2 - hype * 0.8 - drift * 0.35 - nseq * 0.5 - CASE WHEN crowded THEN 0.8 ELSE 0.0 END)) AS non_template,
+               greatest(0.0, least(10.0, CAST(role_score AS DOUBLE) * 0.45 + CAST(multi_turn AS DOUBLE) * 0.40 + CAST(length_score AS DOUBLE) * 0.15 - rep * 0.8 - drift * 0.42 - nseq * 0.7)) AS coherence,
+               greatest(0.0, least(10.0, 4.8 + least(4.2, emotion * 0.7) + least(1.2, vuln * 0.25) + least(0.6, emoji * 0.12) + 0.0 + CASE WHEN asks THEN 0.6 ELSE 0.0 END - formula * 0.6 - hype * 0.5 - drift * 0.25)) AS emotion_arc
+        FROM h2
+    ),
+    s2 AS (SELECT *, greatest(0.0, least(10.0, source_style_strength * 0.18 + human_naturalness * 0.20 + coherence * 0.24 + relevance * 0.16 + non_template * 0.22 - rep * 0.5 - drift * 0.3 - nseq * 0.4)) AS training_value FROM s1),
+    s3 AS (SELECT *, {_half_up('(' + ' + '.join(_half_up(k) for k in _POSITIVE) + f') / {len(_POSITIVE)} - rep * 0.35')} AS o1 FROM s2),
+    s4 AS (SELECT *, {_half_up('o1 - drift * 0.25')} AS o2 FROM s3),
+    s5 AS (SELECT *, {_half_up('o2 - nseq * 0.30')} AS o3 FROM s4),
+    s6 AS (SELECT *, {_half_up('greatest(0.0, least(10.0, o3))')} AS overall FROM s5)"""
+_REJECT = "safety <= 7 OR leak > 0 OR rep >= 5 OR drift >= 5 OR nseq >= 4.5 OR formulas >= 3 OR atmpl >= 2 OR rep >= 3.2 AND atmpl >= 1"
+_LOOK = "drift >= 1.8 OR nseq >= 2 OR formulas >= 1 OR (human_naturalness < 5 OR non_template < 5) AND overall < 6.5 OR tmpl >= 2 OR crowded OR hype >= 3 OR human_naturalness < 6.5 OR non_template < 7 OR training_value < 7 OR atmpl > 0"
+_SHOWN = ", ".join(f"{_half_up(k)} AS {name}" for k, name in [*((k, k) for k in _POSITIVE), ("rep", "repetition_badness"), ("drift", "topic_drift_badness"), ("nseq", "non_sequitur_badness")])
+ORACLES["conv_score_no_similarity"] = _with(
+    f"SELECT conv_id, {_SHOWN}, overall, CASE WHEN {_REJECT} THEN 'rejected' WHEN overall >= 8 AND NOT ({_LOOK}) THEN 'accepted' WHEN overall >= 6.5 THEN 'needs_review' ELSE 'rejected' END AS status FROM s6",
+    _DRIFT + _doubles(_SCORES),
+)
