@@ -231,3 +231,9 @@ def translation_problems(source: Column, target: Column, system: str = "You are
     return F.array_compact(F.array(
         F.when(F.size(source) != F.size(target), "count"), F.when(roles, "roles"), F.when(~F.coalesce(kept, F.lit(False)), "system"), F.when(cjk == 0, "no Chinese"), F.when(cjk < F.greatest(F.lit(20), latin * 2), "little Chinese"),
     ))
+
+
+def opening(theme: Column, openings: list[tuple[str, str]], *, lower: bool = False) -> Column:
+    """The opening of the first entry (part of a theme, opening) that the theme holds, trimmed as a user message; null if none."""
+    t = F.lower(tx.strip(theme)) if lower else tx.strip(theme)
+    return F.coalesce(*[F.when(t.contains(part), tx.trim_user(F.lit(said))) for part, said in openings], F.lit(None).cast("string"))

@@ -94,3 +94,14 @@ def newest_per_id(files: DataFrame) -> DataFrame:
 
 def progress(done: Column, total: Column) -> Column:
     return F.round(F.lit(100.0) * done / F.greatest(total, F.lit(1)), 1)
+
+
+def decode(rows: DataFrame) -> DataFrame:
+    """Stored rows with their five JSON texts as values: messages and conversations as arrays, spec, metadata and review as variants.
+
+    A text that is null or no JSON becomes null. Other columns stay.
+    """
+    turns = {"messages_json": ("messages", "array<struct<role:string,content:string>>"), "sharegpt_json": ("conversations", "array<struct<from:string,value:string>>")}
+    typed = {name: F.from_json(F.col(raw), kind) for raw, (name, kind) in turns.items() if raw in rows.columns}
+    loose = {name: F.try_parse_json(F.col(f"{name}_json")) for name in ("spec", "metadata", "review") if f"{name}_json" in rows.columns}
+    return rows.withColumns(typed | loose).drop(*turns, *[f"{name}_json" for name in loose])

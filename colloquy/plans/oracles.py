@@ -122,7 +122,7 @@ _NAT_VALUE = f"""CASE WHEN {_strip('utxt')} = '' OR u <= 0 THEN 0.0 ELSE greates
             + CASE WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) BETWEEN 3 AND 60 THEN 0.8 WHEN CAST(length(utxt) AS DOUBLE) / greatest(1, u) > 80 THEN -1.2 ELSE 0.0 END
             - least(2.5, ({_NAT_FORMAL}) * 0.8) - least(4.5, ({_NAT_META}) * 1.2 + ({_count('utxt', '你：')} + {_count('utxt', '对方：')} + {_count('lower(utxt)', 'assistant')}) * 1.0))) END"""
 _NAT_FROM = f"""ln AS (SELECT conv_id, {_strip('unnest(string_split_regex(utxt, chr(10)))')} AS l FROM m),
-    cnt AS (SELECT conv_id, count(*) FILTER (l <> '') AS lines, count(*) FILTER (l <> '' AND CASE WHEN regexp_matches(l, '[A-Za-z]') THEN len(regexp_extract_all(l, '\\S+')) <= 20 ELSE length(l) <= 20 END) AS short FROM ln GROUP BY conv_id),
+    cnt AS (SELECT conv_id, count(*) FILTER (l <> '') AS lines, count(*) FILTER (l <> '' AND CASE WHEN regexp_matches(l, '[A-Za-z]') AND NOT regexp_matches(l, {_q(lx.CJK)}) THEN len(regexp_extract_all(l, '\\S+')) <= 20 ELSE length(l) <= 20 END) AS short FROM ln GROUP BY conv_id),
     nat AS (SELECT m.*, coalesce(lines, 0) AS lines, coalesce(short, 0) AS short FROM m LEFT JOIN cnt USING (conv_id))"""
 _NSEQ_VALUE = "CASE WHEN coalesce(n, 0) >= 4 AND coalesce(v, 0) >= 4 AND miss >= 4 AND CAST(miss AS DOUBLE) / v >= 0.6 THEN least(8.0, (CAST(miss AS DOUBLE) / v - 0.5) * 16) ELSE 0.0 END"
 _NSEQ_FROM = f"""{_PAIRS},
@@ -353,3 +353,13 @@ ORACLES["conv_score_no_similarity"] = _with(
     f"SELECT conv_id, {_SHOWN}, overall, CASE WHEN {_REJECT} THEN 'rejected' WHEN overall >= 8 AND NOT ({_LOOK}) THEN 'accepted' WHEN overall >= 6.5 THEN 'needs_review' ELSE 'rejected' END AS status FROM s6",
     _DRIFT + _doubles(_SCORES),
 )
+
+#: What conv_score_planted puts at the end of each message: its conv_id modulo their number + 1 says which, 0 none.
+SCORE_PLANTS = [
+    " CORE_MEMORY and new_events", " you are jealous, teasing me, don't go, stay, only me", " 今天好累 开心 😊?", " make some memories", " 作为一个ai，希望这能帮到你",
+    " dinner, my boss, sleep, the subway, a dog and a movie", " awesome awesome amazing 😊😍😁", " kill all", " 我理解你 233",
+]
+_PLANTED = "coalesce(text, '') || CASE conv_id % " + str(len(SCORE_PLANTS) + 1) + " " + " ".join(f"WHEN {i} THEN {_q(p)}" for i, p in enumerate(SCORE_PLANTS, 1)) + " ELSE '' END AS content"
+ORACLES["conv_score_planted"] = ORACLES["conv_score_no_similarity"].replace("coalesce(text, '') AS content", _PLANTED, 1)
+ORACLES["part_row_decode"] = _with("SELECT conv_id AS id, CAST(len(ms) AS INTEGER) AS n_messages, CAST(length(array_to_string(list_transform(ms, lambda x: x.content), '')) AS INTEGER) AS n_chars, CASE WHEN conv_id % 5 <> 0 THEN 'low' END AS tier, CAST(CASE WHEN conv_id % 5 <> 0 THEN conv_id % 7 END AS INTEGER) AS turns, true AS no_review FROM m")
+ORACLES["part_opening"] = "SELECT doc_id, CASE WHEN contains(lower(text), 'neighbors') THEN 'they are loud tonight' WHEN contains(lower(text), 'the') THEN 'guess what the cat did' WHEN contains(lower(text), 'qu') THEN 'look at this' WHEN contains(lower(text), 'a') THEN 'so anyway' END AS opening FROM documents"

@@ -11,7 +11,7 @@ from colloquy.functions import text as tx
 from colloquy.functions.lexicons import DEFAULT
 from colloquy.operators import dedup, jobs, planning, report, review, scoring, store
 from colloquy.operators import messages as ms
-from colloquy.plans.oracles import ORACLES
+from colloquy.plans.oracles import ORACLES, SCORE_PLANTS
 from colloquy.sources import backend
 
 FLAGSHIP = "conv_role_counts"
@@ -494,3 +494,28 @@ def part_stop_lists(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("p_name", " ")
     stops = F.when(F.col("p_partkey") % 7 > 0, F.concat(words, F.array(F.lit(""), F.lit("User:"), words[0], F.lit("Human:"))))
     return _read(spark, d, "part").select("p_partkey", F.array_join(backend.stop_list(stops, ("Human:", "User:", "AI:"), 3), "|").alias("stops"))
+
+
+@query
+def conv_score_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The score of conversations whose messages have what each measure looks for: another thing for each conv_id modulo 10."""
+    turns = _read(spark, d, "conversations")
+    kinds = F.array(F.lit(""), *[F.lit(p) for p in SCORE_PLANTS])
+    planted = turns.withColumn("text", F.concat(tx.text_of(F.col("text")), F.get(kinds, F.pmod(F.col("conv_id"), F.lit(len(SCORE_PLANTS) + 1)).cast("int"))))
+    return scoring.heuristic_review(ms.from_turns(planted), with_similarity=False).select("conv_id", *scoring.POSITIVE, "repetition_badness", "topic_drift_badness", "non_sequitur_badness", "overall", "status")
+
+
+@query
+def part_row_decode(spark: SparkSession, d: str) -> DataFrame:
+    stored = conversations(spark, d).select(
+        F.col("conv_id").alias("id"), F.to_json("messages").alias("messages_json"), F.to_json(ms.to_sharegpt(F.col("messages"))).alias("sharegpt_json"),
+        F.when(F.col("conv_id") % 5 == 0, "{broken").otherwise(F.format_string('{"tier":"low","turns":%d}', F.col("conv_id") % 7)).alias("spec_json"), F.lit("{}").alias("metadata_json"), F.lit(None).cast("string").alias("review_json"),
+    )
+    rows = store.decode(stored)
+    return rows.select("id", F.size("messages").alias("n_messages"), F.length(F.array_join(F.transform("conversations", lambda m: m["value"]), "")).alias("n_chars"), F.try_variant_get("spec", "$.tier", "string").alias("tier"), F.try_variant_get("spec", "$.turns", "int").alias("turns"), F.col("review").isNull().alias("no_review"))
+
+
+@query
+def part_opening(spark: SparkSession, d: str) -> DataFrame:
+    openings = [("neighbors", "they are loud tonight"), ("the", "guess what the cat did"), ("qu", "look at this"), ("a", "so anyway")]
+    return _read(spark, d, "documents").select("doc_id", review.opening(F.col("text"), openings, lower=True).alias("opening"))

@@ -68,3 +68,8 @@ def test_quotas(spark):
     assert quotas(1) == {"low": 0, "mid": 1, "high": 0} and quotas(3) == {"low": 1, "mid": 1, "high": 1}
     assert quotas(100) == {"low": 40, "mid": 40, "high": 20} and quotas(7, low=1.0, mid=0.0, high=0.0) == {"low": 5, "mid": 1, "high": 1}
     assert planning.tier_weights("40,40,20") == {"low": 0.4, "mid": 0.4, "high": 0.2} == planning.tier_weights("a") == planning.tier_weights(None)
+
+
+def test_openings(spark):
+    themes = spark.createDataFrame([(1, "Late at the Subway"), (2, "quiet"), (3, None)], "i int, t string")
+    assert {r.i: r.o for r in themes.select("i", review.opening(F.col("t"), [("subway", "my shoes are soaked")], lower=True).alias("o")).collect()} == {1: "my shoes are soaked", 2: None, 3: None}
