@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, classlm, decontam, langid, linededup, quality, simhash, substring, topk
+from colloquy.llm import bpe, chat, classlm, decontam, fim, langid, linededup, phrases, quality, rules, simhash, substring, topk
 from colloquy.llm._shared import remainder, table
 
 
@@ -61,6 +61,19 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary("word_bpe_49k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=10, share=50, top=2000)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.cascade(docs, rules.plan(docs))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_class_lm": op2_class_lm,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bm25_decontam": op9_bm25_decontam,
     "op10_bpe_words": op10_bpe_words,
+    "op11_phrases": op11_phrases,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -141,4 +157,87 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op11_phrases": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (
+            SELECT d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\f\r]')) AS piece FROM d
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p
+        ), g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+        ), n AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+        ), cuts AS (
+            SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS p1, array_to_string(w[cut + 1:], ' ') AS p2 FROM c, (VALUES (1), (2)) s(cut) WHERE cut < k
+        ), scored AS (
+            SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, cut, x.f AS l, y.f AS r,
+                   CAST((1000000::HUGEINT * cuts.a * cuts.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 AND x.k = cut JOIN f y ON y.lang = cuts.lang AND y.phrase = p2 AND y.k = cuts.k - cut
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase, k ORDER BY score, cut) = 1
+        ), held AS (
+            SELECT lang, part, max(a) AS most FROM (
+                SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE k = 3
+            ) GROUP BY ALL
+        ), kept AS (
+            SELECT b.* FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.part AND b.k = 2 WHERE h.most IS NULL OR 100 * h.most < 50 * b.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+    "op12_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents
+        ), s AS (
+            SELECT d, doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0B\f\r]')) AS lines FROM d
+        ), v AS (
+            SELECT d, unnest(range(1, len(w) - 3)) AS i, w FROM s WHERE len(w) >= 5
+        ), r AS (
+            SELECT d, i, count(*) OVER (PARTITION BY d, hash(w[i:i + 4]), array_to_string(w[i:i + 4], ' ')) AS times FROM v
+        ), often AS (
+            SELECT d, len(list_distinct(flatten(list(range(i, i + 5))))) AS n FROM r WHERE times > 1 GROUP BY d
+        ), m AS (
+            SELECT s.d, doc_id, t, w, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM s LEFT JOIN often USING (d)
+        ), b AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+            OR 100 * word_chars > 1500 * n_words OR word_chars < 2 * n_words
+            OR 100 * n_symbols > 10 * n_words
+            OR n_dup_lines > 0 AND 100 * n_dup_lines > 30 * len(lines)
+            OR 100 * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) > 30 * length(regexp_replace(t, '[^\p{L}]', '', 'g'))
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 75 * n_words
+            OR 100 * length(regexp_replace(t, '[^\p{Nd}]', '', 'g')) > 25 * word_chars
+            OR 100 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\x0B\f\r]*$'))) > 30 * len(lines)
+            OR 100 * len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) > 90 * len(lines)
+            OR len(list_filter(w, lambda x: length(x) >= 1000)) > 0
+            OR 100 * length(regexp_replace(t, '[^\x{FFFD}]', '', 'g')) > word_chars) AS kept
+        FROM b
+    """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+        ), h AS (
+            SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), p AS (
+            SELECT *, array_to_string(u[1:i], '') AS prefix, array_to_string(u[i + 1:j], '') AS middle, array_to_string(u[j + 1:], '') AS suffix FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
