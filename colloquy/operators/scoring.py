@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import CJK, DEFAULT, Lexicon
-from colloquy.functions.similarity import ratios, text_ratio
+from colloquy.functions.similarity import text_ratio, with_ratios
 from colloquy.operators import messages as ms
 
 POSITIVE = ["format_valid", "relevance", "source_style_strength", "human_naturalness", "coherence", "emotion_arc", "non_template", "safety", "training_value", "translation_quality"]
+#: Sequence ratios over which an answer parrots its question, and two messages of one role are alike.
+PARROT, ALIKE = 0.55, 0.86
 
 
 def _r(c: Column, places: int = 2) -> Column:
@@ -150,9 +152,10 @@ def features(samples: DataFrame, *, with_similarity: bool = True, lx: Lexicon =
     })
     if with_similarity:
         left, right = _similarity_terms(m)
-        df = df.withColumn("_sims", ratios(left, right)).withColumn("_n", F.size(ms.adjacent_pairs(m, 2)))
-        parrots = F.size(F.filter(F.slice("_sims", 1, F.col("_n")), lambda s: s > 0.55))
-        alike = F.size(F.filter(F.slice("_sims", F.col("_n") + 1, F.size("_sims")), lambda s: s > 0.86))
+        df = df.withColumn("_n", F.size(ms.adjacent_pairs(m, 2)))
+        df = with_ratios(df, "_sims", left, right, F.transform(left, lambda _, i: F.when(i < F.col("_n"), PARROT).otherwise(ALIKE)))
+        parrots = F.size(F.filter(F.slice("_sims", 1, F.col("_n")), lambda s: s > PARROT))
+        alike = F.size(F.filter(F.slice("_sims", F.col("_n") + 1, F.size("_sims")), lambda s: s > ALIKE))
     else:
         parrots = alike = F.lit(0)
     over = lambda c, limit, by: F.when(F.col(c) > limit, F.least(F.lit(5.0), (F.col(c) - limit) * by)).otherwise(0.0)
@@ -245,7 +248,8 @@ def trend(samples: DataFrame, lx: Lexicon = DEFAULT, *, with_similarity: bool =
     n = F.size(answers)
     heads = F.transform(ms.keep_last(answers, 4), lambda a: tx.compact(F.substr(a, F.lit(1), F.lit(90))))
     df = samples.withColumn("_heads", heads)
-    df = df.withColumn("_sims", ratios(F.slice("_heads", 1, F.greatest(F.size("_heads") - 1, F.lit(0))), F.slice("_heads", 2, F.greatest(F.size("_heads") - 1, F.lit(0)))) if with_similarity else F.array().cast("array<double>"))
+    pairs = F.greatest(F.size("_heads") - 1, F.lit(0))
+    df = with_ratios(df, "_sims", F.slice("_heads", F.lit(1), pairs), F.slice("_heads", F.lit(2), pairs), 0.58) if with_similarity else df.withColumn("_sims", F.array().cast("array<double>"))
     formula, vulnerable, tense = tx.pattern_count(asst, lx.formulas), tx.marker_count(asst, lx.vulnerability), tx.marker_count(asst, lx.tension)
     severity = (
         F.when(formula >= 2, F.lit(2.5) + F.least(F.lit(3.0), formula * 0.6)).otherwise(0.0)
@@ -256,12 +260,3 @@ def trend(samples: DataFrame, lx: Lexicon = DEFAULT, *, with_similarity: bool =
     )
     df = drift_columns(df.withColumn("_severity", severity), "messages", lx=lx)
     return df.withColumn("trend_severity", _r(F.col("_severity") + F.col("drift_severity"))).drop("_heads", "_sims", "_severity")
-
-
-def trend_by_turn(samples: DataFrame, lx: Lexicon = DEFAULT, *, with_similarity: bool = True, messages: str = "messages") -> DataFrame:
-    """A row for each assistant turn of each sample: samples' other columns, `turn` (from 1) and the trend of all up to it."""
-    m = F.col(messages)
-    ends = F.filter(F.transform(m, lambda x, i: F.when(x["role"] == "assistant", i + 1)), lambda x: x.isNotNull())
-    rows = samples.select(*[c for c in samples.columns if c != messages], m.alias("_all"), F.posexplode(ends).alias("turn", "_end"))
-    rows = rows.withColumns({"turn": F.col("turn") + 1, "messages": F.slice("_all", F.lit(1), F.col("_end"))}).drop("_all", "_end")
-    return trend(rows, lx, with_similarity=with_similarity).drop("messages")

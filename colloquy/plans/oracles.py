@@ -363,3 +363,47 @@ _PLANTED = "coalesce(text, '') || CASE conv_id % " + str(len(SCORE_PLANTS) + 1)
 ORACLES["conv_score_planted"] = ORACLES["conv_score_no_similarity"].replace("coalesce(text, '') AS content", _PLANTED, 1)
 ORACLES["part_row_decode"] = _with("SELECT conv_id AS id, CAST(len(ms) AS INTEGER) AS n_messages, CAST(length(array_to_string(list_transform(ms, lambda x: x.content), '')) AS INTEGER) AS n_chars, CASE WHEN conv_id % 5 <> 0 THEN 'low' END AS tier, CAST(CASE WHEN conv_id % 5 <> 0 THEN conv_id % 7 END AS INTEGER) AS turns, true AS no_review FROM m")
 ORACLES["part_opening"] = "SELECT doc_id, CASE WHEN contains(lower(text), 'neighbors') THEN 'they are loud tonight' WHEN contains(lower(text), 'the') THEN 'guess what the cat did' WHEN contains(lower(text), 'qu') THEN 'look at this' WHEN contains(lower(text), 'a') THEN 'so anyway' END AS opening FROM documents"
+
+#: What conv_trend_planted puts at the end of each message: (conv_id * 5 + turn * 3) modulo their number + 1 says which, 0 none.
+TREND_PLANTS = ["make some memories", "😊😍 awesome, enjoy it", "I am afraid, don't leave", "so jealous", "the boss called about dinner", "my cat saw a movie on the subway", "no no no no no no no no no no no no"]
+_TREND_ALLOWED = "('social', 'emotion_attachment', 'ai_relationship', 'work')"
+
+
+def _trend(text: str) -> str:
+    """conv_trend_by_turn over the given text of a message, each answer's prefix by itself."""
+    answer = lambda value: f"CASE WHEN role = 'assistant' THEN {value} ELSE 0 END"
+    rep = f"(SELECT CASE WHEN length(c) < 16 THEN 0.0 ELSE 1.0 - CAST(len(list_distinct(list_transform(range(1, length(c) - 2), lambda k: substr(c, k, 4)))) AS DOUBLE) / (length(c) - 3) END FROM (SELECT {_compact('content')} AS c))"
+    return f"""WITH t AS (
+        SELECT DISTINCT conv_id, turn, role, {text} AS content FROM conversations WHERE role IN ('user', 'assistant') AND conv_id IS NOT NULL AND turn IS NOT NULL
+    ), d AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, content) AS i FROM t
+    ), x AS (
+        SELECT {{'c': conv_id, 'i': i}} AS conv_id, content AS txt FROM d
+    ), dom AS (
+        SELECT conv_id.c AS conv_id, conv_id.i AS i, domain, hits FROM ({_domains_sql('x')})
+    ), own AS (
+        SELECT *, {answer(_FORMULA('content'))} AS formula, {answer(_EMOJI('content'))} AS emoji, {_marker_count('content', lx.TREND_HYPE)} AS hype, {answer(_marker_count('content', lx.VULNERABILITY))} AS vulnerable,
+               {answer(_marker_count('content', lx.TENSION))} AS tense, role = 'assistant' AND {rep} > 0.46 AS looped FROM d
+    ), run AS (
+        SELECT conv_id, turn, role, i, looped, count(*) FILTER (role = 'assistant') OVER w AS nth, sum(formula) OVER w AS formula, sum(emoji) OVER w AS emoji, sum(hype) OVER w AS hype, sum(vulnerable) OVER w AS vulnerable, sum(tense) OVER w AS tense
+        FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+    ), e AS (
+        SELECT *, max(CAST(looped AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY i ROWS 2 PRECEDING) AS loops FROM run WHERE role = 'assistant'
+    ), s AS (
+        SELECT e.conv_id, e.i, domain, sum(hits) AS hits, max(dom.i) > e.i - 4 AS recent FROM e JOIN dom ON dom.conv_id = e.conv_id AND dom.i <= e.i GROUP BY e.conv_id, e.i, domain
+    ), g AS (
+        SELECT conv_id, i, count(*) AS seen, count(*) FILTER (domain NOT IN {_TREND_ALLOWED}) AS other, count(*) FILTER (recent AND domain NOT IN {_TREND_ALLOWED}) AS near, round(-sum((hits / tot) * log2(hits / tot + 1e-9)), 3) AS entropy
+        FROM (SELECT *, CAST(sum(hits) OVER (PARTITION BY conv_id, i) AS DOUBLE) AS tot FROM s) GROUP BY conv_id, i
+    ), v AS (
+        SELECT e.*, abs(coalesce(g.entropy, 0.0)) AS entropy, round(CAST(CASE WHEN coalesce(near, 0) >= 2 THEN 2.2 + 0.35 * near WHEN coalesce(near, 0) = 1 AND e.i >= 8 THEN 0.8 ELSE 0.0 END
+            + CASE WHEN coalesce(seen, 0) >= 5 AND g.entropy >= 1.75 THEN 1.4 ELSE 0.0 END + CASE WHEN coalesce(other, 0) >= 3 THEN 1.2 ELSE 0.0 END AS DOUBLE), 2) AS drift
+        FROM e LEFT JOIN g USING (conv_id, i)
+    )
+    SELECT conv_id, turn, CAST(nth AS BIGINT) AS nth, CAST(formula AS BIGINT) AS formula_hits, CAST(emoji AS BIGINT) AS emoji_hits, CAST(hype AS BIGINT) AS hype_hits, CAST(vulnerable AS BIGINT) AS vulnerability_hits, CAST(tense AS BIGINT) AS tension_hits,
+           entropy AS drift_entropy, drift AS drift_severity, round(CAST(drift AS DOUBLE) + CASE WHEN formula >= 2 THEN 2.5 + least(3.0, formula * 0.6) ELSE 0.0 END
+            + CASE WHEN nth >= 4 AND CAST(emoji AS DOUBLE) / nth >= 1.8 AND hype >= 8 AND vulnerable = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN nth >= 5 AND tense = 0 AND vulnerable = 0 THEN 1.4 ELSE 0.0 END + CASE WHEN loops = 1 THEN 1.4 ELSE 0.0 END, 2) AS severity
+    FROM v"""
+
+
+ORACLES["conv_trend_by_turn"] = ORACLES["conv_trend_stream"] = _trend("coalesce(text, '')")
+ORACLES["conv_trend_planted"] = _trend(f"coalesce(text, '') || coalesce(' ' || list_extract([{', '.join(map(_q, TREND_PLANTS))}], (conv_id * 5 + turn * 3) % {len(TREND_PLANTS) + 1}), '')")

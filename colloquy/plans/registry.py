@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy import scratch
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import DEFAULT
-from colloquy.operators import dedup, jobs, planning, report, review, scoring, store
+from colloquy.operators import dedup, jobs, planning, report, review, scoring, store, trend
 from colloquy.operators import messages as ms
-from colloquy.plans.oracles import ORACLES, SCORE_PLANTS
+from colloquy.plans.oracles import ORACLES, SCORE_PLANTS, TREND_PLANTS
 from colloquy.sources import backend
 
 FLAGSHIP = "conv_role_counts"
@@ -161,6 +162,38 @@ def conv_trend(spark: SparkSession, d: str) -> DataFrame:
     return scoring.trend(conversations(spark, d)).select("conv_id", "trend_severity", "drift_severity")
 
 
+_TREND = ("nth", "formula_hits", "emoji_hits", "hype_hits", "vulnerability_hits", "tension_hits", "drift_entropy", "drift_severity", "severity")
+
+
+@query
+def conv_trend_by_turn(spark: SparkSession, d: str) -> DataFrame:
+    """After each answer the trend so far, without the likeness of openings, which SQL cannot state."""
+    return trend.by_turn(_read(spark, d, "conversations"), with_similarity=False).select(F.col("id").alias("conv_id"), "turn", *_TREND)
+
+
+@query
+def conv_trend_planted(spark: SparkSession, d: str) -> DataFrame:
+    turns = _read(spark, d, "conversations")
+    plant = F.get(F.array(F.lit(""), *[F.lit(f" {t}") for t in TREND_PLANTS]), (F.col("conv_id") * 5 + F.col("turn") * 3) % (len(TREND_PLANTS) + 1))
+    return trend.by_turn(turns.withColumn("text", F.concat(tx.text_of(F.col("text")), F.coalesce(plant, F.lit("")))), with_similarity=False).select(F.col("id").alias("conv_id"), "turn", *_TREND)
+
+
+@query
+def conv_trend_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of conv_trend_by_turn from a stream over the table, its state kept by conversation."""
+    # a pattern: a stream reads a file or a folder of this name alike
+    turns = spark.readStream.schema(_read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")
+    out, provider = scratch.path(spark, "trend-stream"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = trend.stream_by_turn(turns, with_similarity=False).select(F.col("id").alias("conv_id"), "turn", *_TREND)
+        rows.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 @query
 def conv_stats_by_status(spark: SparkSession, d: str) -> DataFrame:
     return store.stats(samples(spark, d))

@@ -1,4 +1,4 @@
-"""Review and planning operators that no query's SQL covers: likeness to a transcript, focus, trends by turn, clauses, quotas."""
+"""Review and planning operators that no query's SQL covers: likeness to a transcript, focus, clauses, quotas."""
 
 from pyspark.sql import functions as F
 
@@ -35,17 +35,6 @@ def test_domains_of_another_language(spark):
     assert row.d == {"food": 3, "new": 1}
 
 
-def test_trend_by_turn_is_the_trend_of_each_prefix(spark):
-    talk = said(("system", "s"), *[(r, t) for k in range(6) for r, t in (("user", f"question {k}"), ("assistant", "make some memories " * (k + 1)))])
-    df = spark.createDataFrame([(7, talk)], f"id int, messages {M}")
-    got = {r.turn: r.trend_severity for r in scoring.trend_by_turn(df).collect()}
-    want = {}
-    for k in range(1, 7):
-        prefix = spark.createDataFrame([(7, talk[: 1 + 2 * k])], f"id int, messages {M}")
-        want[k] = scoring.trend(prefix).first().trend_severity
-    assert got == want and got[1] < got[6]
-
-
 def test_reasons_and_tags(spark):
     good = said(*[(r, f"{r} talks about the weather and dinner number {k}, and how was yours?") for k in range(8) for r in ("user", "assistant")])
     bad = said(("user", "I understand."), ("assistant", "As an AI, how can I assist you today? thoughts"))
