@@ -82,11 +82,11 @@ def spare(taken: list[str], *labels: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df below the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -195,7 +195,7 @@ def _phrase_counts(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame
     asked = blocks.select("block", F.posexplode("words").alias("no", "w")).select("block", (F.col("no") + 1).alias("no"), F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
     known = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "no", "id")
     counted = blocks.select(F.col("block").alias("own"), "numbers").groupBy("own").cogroup(known.groupBy("block")).applyInArrow(_count_block, "key binary, f long")
-    keys = stored(counted, "phrase-keys")
+    keys = stored(counted, "phrase-keys", compression="zstd")
     n_ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = keys.repartitionByRange(n_ranges, "key").sortWithinPartitions("key").mapInArrow(_run_lengths(least), "a long, b long, c long, f long, whole boolean")
     found = stored(runs, "phrase-runs")
