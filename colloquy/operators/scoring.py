@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions import terms
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import CJK, DEFAULT, Lexicon
 from colloquy.functions.similarity import text_ratio, with_ratios
@@ -76,9 +77,9 @@ def non_sequitur(messages: Column, lx: Lexicon = DEFAULT) -> Column:
     return F.when(ok, F.least(F.lit(8.0), (share - 0.5) * 16)).otherwise(0.0)
 
 
-def allowed_domains(spec_text: Column, tier: Column, lx: Lexicon = DEFAULT) -> Column:
-    """The domains of a plan's text, one hop of bridges, and for mid and high tiers three more."""
-    core = F.map_keys(tx.domain_counts(spec_text, lx.domains))
+def allowed_domains(spec_text: Column, tier: Column, lx: Lexicon = DEFAULT, *, core: Column | None = None) -> Column:
+    """The domains of a plan's text (or `core`, where they are known), one hop of bridges, and for mid and high tiers three more."""
+    core = F.map_keys(tx.domain_counts(spec_text, lx.domains)) if core is None else core
     strong = F.coalesce(tier, F.lit("low")).isin("mid", "high")
     core = F.when(F.size(core) > 0, core).otherwise(F.array(F.when(strong, "emotion_attachment").otherwise("social")))
     bridges = F.create_map(*[x for k, v in lx.bridges.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -89,15 +90,24 @@ def allowed_domains(spec_text: Column, tier: Column, lx: Lexicon = DEFAULT) -> C
 
 def drift_columns(df: DataFrame, messages: str = "messages", spec_text: Column | None = None, tier: Column | None = None, lx: Lexicon = DEFAULT) -> DataFrame:
     """df with drift_counts, drift_entropy, drift_unexpected, drift_recent_unexpected and drift_severity."""
-    said = ms.dialogue(F.col(messages))
-    full = F.array_join(F.transform(said, lambda m: m["content"]), "\n")
-    recent = F.array_join(F.transform(ms.keep_last(said, 4), lambda m: m["content"]), "\n")
+    full, recent = _said(messages)
     allowed = allowed_domains(spec_text if spec_text is not None else F.lit(""), tier if tier is not None else F.lit("low"), lx)
     df = df.withColumn("drift_counts", tx.domain_counts(full, lx.domains)).withColumn("_recent", F.map_keys(tx.domain_counts(recent, lx.domains))).withColumn("_allowed", allowed)
+    return _severity_of_drift(df, messages)
+
+
+def _said(messages: str) -> tuple[Column, Column]:
+    """All of a dialogue, and its last four messages, as texts."""
+    said = ms.dialogue(F.col(messages))
+    return tuple(F.array_join(F.transform(x, lambda m: m["content"]), "\n") for x in (said, ms.keep_last(said, 4)))
+
+
+def _severity_of_drift(df: DataFrame, messages: str) -> DataFrame:
+    """df (with drift_counts, _recent and _allowed) with the drift columns."""
     df = df.withColumn("drift_entropy", tx.entropy(F.col("drift_counts")))
     seen = F.map_keys("drift_counts")
     df = df.withColumn("drift_unexpected", F.array_sort(F.array_except(seen, F.col("_allowed")))).withColumn("drift_recent_unexpected", F.array_sort(F.array_except("_recent", "_allowed")))
-    recent_n, n = F.size("drift_recent_unexpected"), F.size(said)
+    recent_n, n = F.size("drift_recent_unexpected"), F.size(ms.dialogue(F.col(messages)))
     severity = (
         F.when(recent_n >= 2, F.lit(2.2) + recent_n * 0.35).when((recent_n == 1) & (n >= 8), 0.8).otherwise(0.0)
         + F.when((F.size(seen) >= 5) & (F.col("drift_entropy") >= 1.75), 1.4).otherwise(0.0)
@@ -106,6 +116,23 @@ def drift_columns(df: DataFrame, messages: str = "messages", spec_text: Column |
     return df.withColumn("drift_severity", _r(severity)).drop("_recent", "_allowed")
 
 
+def drift_by_terms(df: DataFrame, lexicon: DataFrame, *, id_col: str, messages: str = "messages", spec_text: Column | None = None, tier: Column | None = None, lx: Lexicon = DEFAULT) -> DataFrame:
+    """The drift columns of df by a table of terms (category, term, kind) instead of a Lexicon's lists: the plan has one size for any number of terms.
+
+    Ids are unique and not null. lx gives the bridges between domains.
+    """
+    full, recent = _said(messages)
+    spec = tx.text_of(spec_text if spec_text is not None else F.lit(""))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in (("full", full), ("recent", recent), ("spec", spec))])
+    texts = df.select(F.col(id_col).alias("of"), F.explode(kinds).alias("x")).select(F.struct("of", "x.kind").alias("id"), "x.text")
+    counts = terms.category_maps(texts.where("text <> ''"), lexicon)
+    found = counts.groupBy(F.col("id.of").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id.kind"), "counts"))).alias("_counts"))
+    none = F.create_map().cast("map<string,int>")
+    of = lambda kind: F.coalesce(F.element_at("_counts", F.lit(kind)), none)
+    out = df.join(found, F.col(id_col) == F.col("_of"), "left").withColumns({"drift_counts": of("full"), "_recent": F.map_keys(of("recent")), "_core": F.map_keys(of("spec"))}).drop("_of", "_counts")
+    return _severity_of_drift(out.withColumn("_allowed", allowed_domains(F.lit(""), tier if tier is not None else F.lit("low"), lx, core=F.col("_core"))).drop("_core"), messages)
+
+
 def _similarity_terms(messages: Column) -> tuple[Column, Column]:
     """Left and right texts of every pair that is compared: even user-answer pairs, then neighbours of one role."""
     pairs = ms.adjacent_pairs(messages, 2)

@@ -407,3 +407,29 @@ def _trend(text: str) -> str:
 
 ORACLES["conv_trend_by_turn"] = ORACLES["conv_trend_stream"] = _trend("coalesce(text, '')")
 ORACLES["conv_trend_planted"] = _trend(f"coalesce(text, '') || coalesce(' ' || list_extract([{', '.join(map(_q, TREND_PLANTS))}], (conv_id * 5 + turn * 3) % {len(TREND_PLANTS) + 1}), '')")
+
+ORACLES["docs_near_dups_jaccard"] = f"""WITH c AS (
+        SELECT doc_id, {_canonical("coalesce(text, '')")} AS t FROM documents
+    ), e AS (
+        SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS first_id FROM c
+    ), g AS (
+        SELECT doc_id, length(t) AS len, list_distinct(CASE WHEN length(t) <= 5 THEN [t] ELSE list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)) END) AS g FROM e WHERE doc_id = first_id AND t <> ''
+    ), x AS (
+        SELECT doc_id, len, len(g) AS n, unnest(g) AS gram FROM g
+    ), p AS (
+        SELECT b.doc_id AS b, a.doc_id AS a, CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n) - count(*)) AS s
+        FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n >= 0.88 * b.n AND b.n >= 0.88 * a.n AND least(a.len, b.len) >= 0.55 * greatest(a.len, b.len)
+        GROUP BY ALL HAVING s >= 0.88
+    ), best AS (
+        SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY b ORDER BY CASE WHEN s >= 0.995 THEN 2.0 ELSE s END DESC, a) = 1
+    )
+    SELECT e.doc_id, CASE WHEN e.doc_id <> first_id THEN first_id ELSE best.a END AS duplicate_of, CASE WHEN e.doc_id <> first_id THEN 1.0 ELSE round(s, 6) END AS similarity
+    FROM e LEFT JOIN best ON best.b = e.first_id WHERE e.doc_id <> first_id OR best.a IS NOT NULL"""
+
+ORACLES["conv_topic_drift_terms"] = ORACLES["conv_topic_drift"]
+ORACLES["docs_benchmark_terms"] = f"""WITH lex AS (
+        SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_words("coalesce(text, '')")}) AS term FROM benchmark) WHERE length(term) >= 8
+    ), w AS (
+        SELECT doc_id, unnest({_words("coalesce(text, '')")}) AS term FROM documents
+    )
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, CAST(count(*) AS BIGINT) AS hits FROM w JOIN lex USING (term) GROUP BY doc_id"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import scratch
+from colloquy.functions import terms
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import DEFAULT
 from colloquy.operators import dedup, jobs, planning, report, review, scoring, store, trend
@@ -141,6 +142,22 @@ def conv_topic_drift(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "drift_severity", "drift_entropy", F.array_join("drift_unexpected", ",").alias("unexpected"), F.array_join("drift_recent_unexpected", ",").alias("recent_unexpected"))
 
 
+@query
+def conv_topic_drift_terms(spark: SparkSession, d: str) -> DataFrame:
+    """conv_topic_drift with the domain terms as a table."""
+    out = scoring.drift_by_terms(conversations(spark, d), terms.from_domains(spark, DEFAULT), id_col="conv_id")
+    return out.select("conv_id", "drift_severity", "drift_entropy", F.array_join("drift_unexpected", ",").alias("unexpected"), F.array_join("drift_recent_unexpected", ",").alias("recent_unexpected"))
+
+
+@query
+def docs_benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The long words of the benchmark as a lexicon, each item a category: per document how many items it has words of, and how many words."""
+    words = F.explode(F.regexp_extract_all(F.lower(tx.text_of(F.col("text"))), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    lexicon = _read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("category"), words.alias("term")).where(F.length("term") >= 8)
+    found = terms.category_counts(_read(spark, d, "documents"), lexicon, id_col="doc_id")
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_items"), F.sum("hits").alias("hits"))
+
+
 @query
 def conv_leakage_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = tx.matched(ms.conversation_text(F.col("messages")), DEFAULT.leak_terms, DEFAULT.leak_patterns, 12)
