@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from colloquy.operators import dedup, jobs, planning, report, review, scoring, s
 from colloquy.operators import messages as ms
 from colloquy.plans.oracles import ORACLES, SCORE_PLANTS, TREND_PLANTS
 from colloquy.sources import backend
+from colloquy.streaming import near
 
 FLAGSHIP = "conv_role_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,6 +328,16 @@ def docs_near_dups_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def docs_near_index(spark: SparkSession, d: str) -> DataFrame:
+    """docs_near_dups_jaccard through the growing index: all documents in three batches, by thirds of the range of ids."""
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    index, third = near.NearIndex(spark, scratch.path(spark, "near-index"), key_type=docs.schema["doc_id"].dataType.simpleString(), compact_every=2), F.floor((F.col("doc_id") - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    found = [scratch.stored(index.add(docs.where(third == k), k, id_col="doc_id"), "near-found") for k in range(3)]
+    return reduce(DataFrame.unionByName, found).withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def docs_near_dups_full(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text", with_sequence=True).withColumn("similarity", F.round("similarity", 6))
