@@ -435,3 +435,4 @@ ORACLES["docs_benchmark_terms"] = f"""WITH lex AS (
     SELECT doc_id, count(DISTINCT item_id) AS n_items, CAST(count(*) AS BIGINT) AS hits FROM w JOIN lex USING (term) GROUP BY doc_id"""
 
 ORACLES["docs_near_index"] = ORACLES["docs_near_dups_jaccard"]
+ORACLES["conv_bucket_table"] = ORACLES["conv_upsert_latest"]

@@ -15,7 +15,7 @@ from colloquy.functions.lexicons import DEFAULT
 from colloquy.operators import dedup, jobs, planning, report, review, scoring, store, trend
 from colloquy.operators import messages as ms
 from colloquy.plans.oracles import ORACLES, SCORE_PLANTS, TREND_PLANTS
-from colloquy.sources import backend
+from colloquy.sources import backend, buckets
 from colloquy.streaming import near
 
 FLAGSHIP = "conv_role_counts"
@@ -245,6 +245,15 @@ def conv_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(own, new)
 
 
+@query
+def conv_bucket_table(spark: SparkSession, d: str) -> DataFrame:
+    """conv_upsert_latest through the bucket table: written, changed, and read again."""
+    own = samples(spark, d).select("id", "created_at", "updated_at", "score", "status")
+    table = buckets.BucketTable.create(own, scratch.path(spark, "bucket-table"), buckets=16)
+    table.upsert(own.where("id % 2 = 0").select((F.col("id") + 10).alias("id"), (F.col("created_at") + 1000).alias("created_at"), (F.col("updated_at") + 1000).alias("updated_at"), F.lit(1.0).alias("score"), "status"))
+    return table.read()
+
+
 @query
 def conv_partial_update(spark: SparkSession, d: str) -> DataFrame:
     own = samples(spark, d).select("id", "updated_at", "score", "status")
