@@ -436,3 +436,14 @@ ORACLES["docs_benchmark_terms"] = f"""WITH lex AS (
 
 ORACLES["docs_near_index"] = ORACLES["docs_near_dups_jaccard"]
 ORACLES["conv_bucket_table"] = ORACLES["conv_upsert_latest"]
+
+REPLY_LINES = ["go on", "and then?", "how was the rest of it"]
+ORACLES["conv_unlike_reply"] = _with(
+    f"""SELECT m.conv_id, reply FROM m LEFT JOIN (
+            SELECT conv_id, c AS reply FROM cand WHERE c <> '' AND NOT (cc <> '' AND list_contains(old, cc))
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sha256(CAST(conv_id AS VARCHAR) || ':' || c), c) = 1
+        ) USING (conv_id)""",
+    f"""usr AS (SELECT conv_id, list(content ORDER BY pos) AS us FROM p WHERE role = 'user' GROUP BY conv_id),
+    each AS (SELECT m.conv_id, list_transform(coalesce(us, [])[-4:], lambda x: {_compact('x')}) AS old, unnest(list_distinct(list_transform(list_concat(coalesce(us, []), [{', '.join(map(_q, REPLY_LINES))}]), lambda x: {_strip('x')}))) AS c FROM m LEFT JOIN usr USING (conv_id)),
+    cand AS (SELECT *, {_compact('c')} AS cc FROM each)""",
+)

@@ -12,9 +12,9 @@ from colloquy import scratch
 from colloquy.functions import terms
 from colloquy.functions import text as tx
 from colloquy.functions.lexicons import DEFAULT
-from colloquy.operators import dedup, jobs, planning, report, review, scoring, store, trend
+from colloquy.operators import dedup, jobs, planning, replies, report, review, scoring, store, trend
 from colloquy.operators import messages as ms
-from colloquy.plans.oracles import ORACLES, SCORE_PLANTS, TREND_PLANTS
+from colloquy.plans.oracles import ORACLES, REPLY_LINES, SCORE_PLANTS, TREND_PLANTS
 from colloquy.sources import backend, buckets
 from colloquy.streaming import near
 
@@ -254,6 +254,14 @@ def conv_bucket_table(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+@query
+def conv_unlike_reply(spark: SparkSession, d: str) -> DataFrame:
+    """For each conversation the first of its own user messages and three lines that no one of its last four user messages equals."""
+    users = ms.contents(F.col("messages"), "user")
+    candidates = F.concat(users, F.array(*map(F.lit, REPLY_LINES)))
+    return replies.unlike(conversations(spark, d), "reply", candidates, ms.keep_last(users, 4), F.col("conv_id"), like=1.0).select("conv_id", "reply")
+
+
 @query
 def conv_partial_update(spark: SparkSession, d: str) -> DataFrame:
     own = samples(spark, d).select("id", "updated_at", "score", "status")
