@@ -83,8 +83,7 @@ def _severity(df: DataFrame, lx: Lexicon, with_similarity: bool) -> DataFrame:
 def by_turn(turns: DataFrame, *, lx: Lexicon = DEFAULT, with_similarity: bool = True, **columns) -> DataFrame:  # noqa: ANN003
     """A row after each assistant's turn: id, turn, nth (answers so far), severity, drift_severity, warnings, counts so far.
 
-    columns: as of `measured`. The last of two answers in one turn stands for both in nothing: each has a row. An empty table
-    gives no rows.
+    columns: as of `measured`. Two answers in one turn have a row each. An empty table gives no rows.
     """
     spark = turns.sparkSession
     id_col, turn_col = columns.get("id_col", "conv_id"), columns.get("turn_col", "turn")
