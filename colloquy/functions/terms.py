@@ -72,8 +72,9 @@ def occurrences(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "id", tex
     lexicon = checked(lexicon)
     n, width = lexicon.agg(F.count("*"), F.max(F.length("term"))).first()
     small, one = n <= BROADCAST_TERMS, F.col("term").rlike(f"^{_WORD}+$")
-    words = own.select("id", F.explode(F.regexp_extract_all("t", F.lit(f"({_WORD}+)"), 1)).alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("hits"))
-    single = words.join(_sent(lexicon.where((F.col("kind") == "word") & one).drop("kind"), small), "term").select("id", "category", "term", "hits")
+    words = own.select("id", F.explode(F.regexp_extract_all("t", F.lit(f"({_WORD}+)"), 1)).alias("term"))
+    # only words of the lexicon are counted, and so shuffled
+    single = words.join(_sent(lexicon.where((F.col("kind") == "word") & one).drop("kind"), small), "term").groupBy("id", "category", "term").agg(F.count("*").cast("int").alias("hits"))
     others = lexicon.where((F.col("kind") == "part") | ~one).withColumns({"first": F.substr("term", F.lit(1), F.lit(1)), "size": F.length("term")})
     at = own.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.explode(_windows(F.col("t"), (width or 1) + 1)).alias("x")).select("id", "row", "x.*")
     alone = ~F.col("before").rlike(_WORD) & ~F.substr("w", F.col("size") + 1, F.lit(1)).rlike(_WORD)
