@@ -17,3 +17,13 @@ def test_clean_turn_computes_each_step_once(spark):
     assert [r.u for r in out.collect()] == ["hi there", "yes", "[1]", ""]
     plan = plan_of(out)
     assert len(re.findall("parse_?json", plan, re.I)) <= 2 and len(re.findall("from_json|jsontostructs", plan, re.I)) <= 1
+
+
+def test_cleaning_steps_read_a_text_once(spark):
+    spaces = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+    rows = [f"{c}a{c}b{c}" for c in spaces] + [spaces, f"{spaces}x{spaces}", "​ y​", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [r.s for r in df.select("i", tx.strip(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [(t or "").strip() for t in rows]
+    for step in (tx.strip, tx.strip_fences, tx.cut_leaks, tx.trim_user):
+        assert len(re.findall(r"\bt#", plan_of(df.select(step(F.col("t")).alias("x"))).split("\n")[0])) == 1, step
