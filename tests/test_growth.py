@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import lexicons as lx
 from colloquy.functions import text as tx
 
 
@@ -27,3 +29,13 @@ def test_cleaning_steps_read_a_text_once(spark):
     assert got == [(t or "").strip() for t in rows]
     for step in (tx.strip, tx.strip_fences, tx.cut_leaks, tx.trim_user):
         assert len(re.findall(r"\bt#", plan_of(df.select(step(F.col("t")).alias("x"))).split("\n")[0])) == 1, step
+
+
+@pytest.mark.parametrize("name", ["CANONICAL", "COMPACT"])
+def test_plain_forms_drop_what_their_class_says(spark, name):
+    own = {"CANONICAL": tx.canonical, "COMPACT": tx.compact}[name]
+    df = spark.range(0, 0x11000).where("id < 55296 OR id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    plain = F.regexp_replace(F.lower("c"), getattr(lx, f"{name}_CLASS"), "")
+    assert df.where(own(F.col("c")) != plain).count() == 0
+    # a class alone costs each letter a try of every member
+    assert "&&" in plan_of(df.select(own(F.col("c"))))
