@@ -83,23 +83,31 @@ def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(which)
 
 
-def fingerprint(text: str | None, width: int = 4) -> bytes:
-    """64 bits, the most significant first: each is 1 if set in over half the hashes of the word shingles."""
+def shingle_digests(text: str | None, width: int = 4) -> bytes:
+    """8 bytes for each word shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return bytes(8)
+        return b""
     plain = b" ".join(words)
     if len(words) <= width:
-        digests = xxhash.xxh64_digest(plain, 42)
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        digests = b"".join(map(xxhash.xxh64_digest, [plain[s : e - 1] for s, e in zip(starts, ends[width - 1 :], strict=False)], repeat(42)))
+        return xxhash.xxh64_digest(plain, 42)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    return b"".join(map(xxhash.xxh64_digest, [plain[s : e - 1] for s, e in zip(starts, ends[width - 1 :], strict=False)], repeat(42)))
+
+
+def vote(digests: bytes) -> bytes:
+    """64 bits, the most significant first: each is 1 if set in over half the digests."""
     rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    votes = sum(np.unpackbits(rows[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), 65536))
+    votes = sum((np.unpackbits(rows[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), 65536)), np.zeros(64, np.int64))
     return np.packbits(votes * 2 > len(rows)).tobytes()
 
 
+def fingerprint(text: str | None, width: int = 4) -> bytes:
+    """The vote of the text's word shingles."""
+    return vote(shingle_digests(text, width))
+
+
 def fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, copy, fp): every row's id, a hash of its text, and its fingerprint as a signed 64-bit number."""
 

@@ -84,3 +84,17 @@ def test_run_equals_the_stages(spark, folder):
         out = stage(spark, docs, folder)
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert sorted(cp.run(spark, folder).collect()) == sorted(docs.collect())
+
+
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = list(rng.choice([f"w{i}" for i in range(3000)], 400))
+    # one changed word at the end: a few fingerprint bits; the fifth text has every third word changed
+    texts = [*[" ".join([*base[:-1], f"end{i}"]) for i in range(4)], " ".join(w if i % 3 else "other" for i, w in enumerate(base)), None]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    asked = []
+    links = cp.neardup.simhash.links
+    monkeypatch.setattr(cp.neardup.simhash, "links", lambda prints: asked.append(1) or links(prints))
+    # without the keys of min-hash bands SimHash is all there is
+    monkeypatch.setattr(cp.neardup, "_by_bands", lambda keys: spark.createDataFrame([], "a long, b long, big boolean"))
+    assert sorted(r.doc_id for r in cp.dedup_documents(spark, table, "").collect()) == [0, 4, 5] and asked
