@@ -3,8 +3,9 @@
 Words that are frequent enough to be in any such phrase get numbers, pieces break at all others. Each position is a key of
 fixed width, three numbers in a row, so that the keys of a pair's positions are neighbours in the order of keys. Blocks of
 documents radix sort and count their own keys first: a phrase that is everywhere travels once a block. Counted keys are dealt
-by ranges, sorted, and counted again as runs; one pass gives the counts of triples and of pairs, whose runs are cut at most
-at the ends of ranges. All later steps read the phrases that are frequent enough and no others.
+into buckets by a hash of the whole phrase, triples and pairs apart, so a pair that many triples begin with makes no bucket
+large; a block sends each bucket one row of packed keys, and a bucket sorts and adds up what all blocks sent. All later steps
+read the phrases that are frequent enough and no others.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from colloquy.llm.wordblocks import pack, unpack
 BLOCK_BYTES, BLOCK_WORDS = 16_000_000, 1_000_000
 #: Bytes of a word's number: room for 2^40 frequent words.
 WIDTH = 5
+#: Places of frequent words for each bucket, about: a bucket's keys are sorted in one task.
+BUCKET_PLACES = 1_000_000
 
 # What ends a piece, what lies between words, the language of documents without one.
 _ENDS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
@@ -124,21 +127,59 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[len(keys) > 0, (keys[1:] != keys[:-1]).any(1)])
 
 
-def _count_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(key, f) of one block: its positions with two frequent words in a row, the third 0 where there is none."""
-    numbers = unpack(left.column("numbers")[0].as_py(), np.uint32)
-    ids = np.zeros(max(int(numbers.max(initial=0)), int(np.asarray(right.column("no")).max(initial=0))) + 1, np.int64)
-    ids[np.asarray(right.column("no"))] = np.asarray(right.column("id"))
-    said = np.r_[ids[numbers], 0, 0]
-    at = np.flatnonzero((said[:-2] > 0) & (said[1:-1] > 0))
-    columns = [said[at], said[at + 1], said[at + 2]]
-    order = radix_order(columns)
-    keys = keys_of([c[order] for c in columns])
-    starts = _starts(keys)
-    own = np.ascontiguousarray(keys[starts])
-    offsets = np.arange(0, 3 * WIDTH * (len(own) + 1), 3 * WIDTH, dtype=np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
-    return pa.table({"key": binary, "f": np.diff(np.r_[starts, len(keys)])})
+def _bucket_of(columns: list[np.ndarray], n_buckets: int) -> np.ndarray:
+    """The bucket of each phrase, by a hash of its words' numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(20)) % np.uint64(n_buckets)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").reshape(-1))
+
+
+def _unpack_keys(blob: bytes, width: int) -> np.ndarray:
+    return unpack(blob, f"V{width}").view(np.uint8).reshape(-1, width)
+
+
+_CHUNKS = "bucket long, triples binary, n_triples binary, pairs binary, n_pairs binary"
+
+
+def _dealt(columns: list[np.ndarray], sums: np.ndarray, n_buckets: int) -> dict[int, tuple[bytes, bytes]]:
+    """Packed keys and counts by bucket."""
+    bucket = _bucket_of(columns, n_buckets)
+    order = radix_order([bucket.astype(np.int64)])
+    bucket, keys, sums = bucket[order], keys_of([c[order] for c in columns]), sums[order].astype(np.uint32)
+    starts = np.flatnonzero(np.r_[len(bucket) > 0, bucket[1:] != bucket[:-1]])
+    return {int(bucket[s]): (_pack_keys(keys[s:e]), pack(sums[s:e])) for s, e in zip(starts, np.r_[starts, len(bucket)][1:], strict=True)}
+
+
+def _count_block(n_buckets: int):  # noqa: ANN202
+    """One block's places with two frequent words in a row, counted: a row of triples and pairs for each bucket."""
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = unpack(left.column("numbers")[0].as_py(), np.uint32)
+        ids = np.zeros(max(int(numbers.max(initial=0)), int(np.asarray(right.column("no")).max(initial=0))) + 1, np.int64)
+        ids[np.asarray(right.column("no"))] = np.asarray(right.column("id"))
+        said = np.r_[ids[numbers], 0, 0]
+        at = np.flatnonzero((said[:-2] > 0) & (said[1:-1] > 0))
+        columns = [said[at], said[at + 1], said[at + 2]]
+        order = radix_order(columns)
+        a, b, c = (x[order] for x in columns)
+        new_pair = np.r_[len(a) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        pair = np.flatnonzero(new_pair)
+        triple = np.flatnonzero(new_pair | np.r_[len(a) > 0, c[1:] != c[:-1]])
+        n_triples, n_pairs = np.diff(np.r_[triple, len(a)]), np.diff(np.r_[pair, len(a)])
+        # 0 where there is no third word
+        triple, n_triples = triple[c[triple] > 0], n_triples[c[triple] > 0]
+        three, two = _dealt([a[triple], b[triple], c[triple]], n_triples, n_buckets), _dealt([a[pair], b[pair]], n_pairs, n_buckets)
+        none = (None, None)
+        rows = [(k, *three.get(k, none), *two.get(k, none)) for k in sorted({*three, *two})]
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i, name in enumerate(("bucket", "triples", "n_triples", "pairs", "n_pairs"))})
+
+    return counted
 
 
 class _Runs:
@@ -157,51 +198,40 @@ class _Runs:
         return keys[:-1], sums[:-1]
 
 
-def _run_lengths(least: int):  # noqa: ANN202
-    """Sorted (key, f) to phrases: those of three words that are frequent enough, and pairs. A range's first and last pair may go
-    on in its neighbours: these come with what the range has of them and whole = false."""
+def _add_up(least: int):  # noqa: ANN202
+    """A bucket's rows to its phrases that are frequent enough."""
 
-    def rows(keys: np.ndarray, sums: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-        ids = [*ids_of(keys), np.zeros(len(keys), np.int64)][:3]
-        return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(sums, pa.int64()), pa.array(whole)], ["a", "b", "c", "f", "whole"])
+    def total(keys: list, sums: list, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+        said = [(_unpack_keys(k, width), unpack(n, np.uint32)) for k, n in zip(keys, sums, strict=True) if k is not None]
+        own = np.concatenate([k for k, _ in said] or [np.empty((0, width), np.uint8)])
+        order, runs = radix_order(ids_of(own)), _Runs(width)
+        found, n = runs.feed(own[order], np.concatenate([n for _, n in said] or [np.empty(0)]).astype(np.int64)[order])
+        found, n = np.concatenate([found, runs.keys]), np.r_[n, runs.sums]
+        take = n >= least
+        return ids_of(found[take]), n[take]
 
-    def triples(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        take = (sums >= least) & keys[:, 2 * WIDTH :].any(1)
-        return rows(keys[take], sums[take], np.ones(take.sum(), bool))
+    def added(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).to_pylist()
+        (a, b, c), f = total(column("triples"), column("n_triples"), 3 * WIDTH)
+        (d, e), g = total(column("pairs"), column("n_pairs"), 2 * WIDTH)
+        return pa.table({"a": np.r_[a, d], "b": np.r_[b, e], "c": np.r_[c, np.zeros(len(g), np.int64)], "f": np.r_[f, g]})
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        three, two, first = _Runs(3 * WIDTH), _Runs(2 * WIDTH), True
-        for batch in batches:
-            column = batch.column("key")
-            offset = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-            keys = np.frombuffer(column.buffers()[2], np.uint8)[offset : offset + 3 * WIDTH * len(batch)].reshape(-1, 3 * WIDTH)
-            sums = np.asarray(batch.column("f"))
-            yield triples(*three.feed(keys, sums))
-            pairs, totals = two.feed(keys[:, : 2 * WIDTH], sums)
-            if len(pairs):
-                whole = np.ones(len(pairs), bool)
-                whole[0] = not first
-                first = False
-                take = ~whole | (totals >= least)
-                yield rows(pairs[take], totals[take], whole[take])
-        yield triples(three.keys, three.sums)
-        yield rows(two.keys, two.sums, np.zeros(len(two.keys), bool))
-
-    return merged
+    return added
 
 
-def _phrase_counts(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """(a, b, c, f): the numbers of two or three words, c 0 for two, of all phrases with f >= least."""
+def _chunks(blocks: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
+    """The counted phrases of each block, packed: one row for each bucket that has any."""
     asked = blocks.select("block", F.posexplode("words").alias("no", "w")).select("block", (F.col("no") + 1).alias("no"), F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
     known = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "no", "id")
-    counted = blocks.select(F.col("block").alias("own"), "numbers").groupBy("own").cogroup(known.groupBy("block")).applyInArrow(_count_block, "key binary, f long")
-    keys = stored(counted, "phrase-keys", compression="zstd")
-    n_ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = keys.repartitionByRange(n_ranges, "key").sortWithinPartitions("key").mapInArrow(_run_lengths(least), "a long, b long, c long, f long, whole boolean")
-    found = stored(runs, "phrase-runs")
-    # two rows a range
-    cut = found.where("NOT whole").groupBy("a", "b", "c").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return found.where("whole").select("a", "b", "c", "f").unionByName(cut)
+    return blocks.select(F.col("block").alias("own"), "numbers").groupBy("own").cogroup(known.groupBy("block")).applyInArrow(_count_block(n_buckets), _CHUNKS)
+
+
+def _phrase_counts(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(a, b, c, f): the numbers of two or three words, c 0 for two, of all phrases with f >= least."""
+    places = words.agg(F.sum("f")).first()[0] or 0
+    n_buckets = places // BUCKET_PLACES + 1
+    n_tasks = max(n_buckets, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _chunks(blocks, words, n_buckets).repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(_add_up(least), "a long, b long, c long, f long")
 
 
 def _score(a: str, left: str, right: str) -> Column:

@@ -85,6 +85,24 @@ def test_phrases_do_not_depend_on_batches_or_ranges(spark, docs, texts):
             spark.conf.set(k, v)
 
 
+def test_counted_phrases_travel_packed(spark, docs, texts):
+    """A block sends each bucket one row, whatever the number of its places; buckets add up to the phrases counted plainly."""
+    blocks = phrases.stored(phrases._blocks(docs.repartition(3), F.col("lang"), F.col("text")), "test-blocks")
+    said = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words.lang", "w.words.word", F.col("w.counts").alias("n"))
+    words = phrases.stored(phrases._numbered(said.groupBy("lang", "word").agg(F.sum("n").alias("f"))), "test-words")
+    chunks = phrases._chunks(blocks, words, 4)
+    n = blocks.count()
+    assert n > 1 and 0 < chunks.count() <= 4 * n and chunks.select("bucket").distinct().count() > 1
+    names = {r["id"]: (r["lang"], bytes(r["word"]).decode()) for r in words.collect()}
+    got = {(names[r["a"]][0], " ".join(names[k][1] for k in (r["a"], r["b"], r["c"]) if k)): r["f"] for r in chunks.groupBy("bucket").applyInArrow(phrases._add_up(1), "a long, b long, c long, f long").collect()}
+    want = Counter()
+    for _, text, lang in texts:
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").translate({k: k + 32 for k in range(65, 91)})):
+            own = [w for w in re.split(r"[ \t]+", piece) if w]
+            want.update((lang or "und", " ".join(own[i : i + k])) for k in (2, 3) for i in range(len(own) - k + 1))
+    assert got == want
+
+
 def test_phrases_of_nothing_and_of_one_long_text(spark, empty):
     assert phrases.collocations(empty).collect() == []
     nothing = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "one", "en")], "doc_id long, text string, lang string")
