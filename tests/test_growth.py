@@ -39,3 +39,13 @@ def test_plain_forms_drop_what_their_class_says(spark, name):
     assert df.where(own(F.col("c")) != plain).count() == 0
     # a class alone costs each letter a try of every member
     assert "&&" in plan_of(df.select(own(F.col("c"))))
+
+
+def test_leaks_are_cut_in_one_pass(spark):
+    rows = ["a\nUser: b", "`x```json y", "x <|im_end|> y </s>", "\n\nHuman:", "</s>", "x😀\n用户：y```", "<< ` \"thought\"", "a]b-c^d", "line\nline\n\nuser x\n", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    for markers in (lx.LEAK_CUTS, ["]", "^d", "-c"], ["😀", "user"], ["x", ""]):
+        out = df.select("i", tx.cut_leaks(F.col("t"), markers).alias("s"))
+        cut = [(t or "")[: min((at for m in markers if (at := (t or "").find(m)) >= 0), default=None)].strip() for t in rows]
+        assert [r.s for r in out.orderBy("i").collect()] == cut
+        assert not re.findall(r"\b(instr|stringinstr|locate)\(", plan_of(out), re.I)
