@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as lx
+from colloquy.functions import similarity
 from colloquy.functions import text as tx
 
 
@@ -49,3 +50,10 @@ def test_leaks_are_cut_in_one_pass(spark):
         cut = [(t or "")[: min((at for m in markers if (at := (t or "").find(m)) >= 0), default=None)].strip() for t in rows]
         assert [r.s for r in out.orderBy("i").collect()] == cut
         assert not re.findall(r"\b(instr|stringinstr|locate)\(", plan_of(out), re.I)
+
+
+def test_characters_in_common_are_not_counted_in_plans(spark):
+    df = spark.createDataFrame([(["abcd", "abcd", None], ["abcx", "dxyz", "a"])], "a array<string>, b array<string>")
+    out = similarity.with_ratios(df, "r", F.col("a"), F.col("b"), F.array(F.lit(0.5), F.lit(0.5), F.lit(0.5)))
+    assert out.first()["r"] == [0.75, 0.0, 0.0]
+    assert "array_distinct" not in plan_of(out)
