@@ -52,6 +52,15 @@ def test_leaks_are_cut_in_one_pass(spark):
         assert not re.findall(r"\b(instr|stringinstr|locate)\(", plan_of(out), re.I)
 
 
+def test_runs_and_terms_pass_a_text_once(spark):
+    df = spark.createDataFrame([("abcdefg😀",), ("a\nb\nc",), ("abcd",), ("ab",), ("",)], "t string")
+    out = df.select(tx.grams(F.col("t"), 4).alias("g"))
+    assert [r.g for r in out.collect()] == [["abcd", "bcde", "cdef", "defg", "efg😀"], ["a\nb\n", "\nb\nc"], ["abcd"], ["ab"], []]
+    assert "array_join" not in plan_of(out)
+    # words go to the table of terms only where it has them
+    assert "INSET" in plan_of(df.select(tx.domain_counts(F.col("t"), lx.DOMAINS))).upper()
+
+
 def test_characters_in_common_are_not_counted_in_plans(spark):
     df = spark.createDataFrame([(["abcd", "abcd", None], ["abcx", "dxyz", "a"])], "a array<string>, b array<string>")
     out = similarity.with_ratios(df, "r", F.col("a"), F.col("b"), F.array(F.lit(0.5), F.lit(0.5), F.lit(0.5)))
