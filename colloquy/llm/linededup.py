@@ -9,7 +9,8 @@ any other and drop out, those whose document ends keep their rank; doubling stop
 All suffixes of one rank are a longest-common-prefix interval: a run of lines that occurs more than once. The first of
 an interval in document order is where its run comes from. For each suffix the longest interval that has an earlier first
 gives the source, and comparing ranks level by level downwards, as far as both agree, gives the length of the common
-prefix of the two: a maximal repeated run. In each document the later copies are deleted from left to right; of
+prefix of the two: a maximal repeated run. Levels lie side by side as partitions of one table, so sources come from one
+join whatever their number, and the driver plans no more for long runs than for short ones. In each document the later copies are deleted from left to right; of
 copies that overlap, the one that begins first goes, and the next begins after it.
 """
 
@@ -17,9 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from colloquy.llm._shared import spare, stored
+from colloquy.llm._shared import scratch_path, spare, stored
 
 _PLACE = ("doc", "copy", "at")
 
@@ -46,31 +48,37 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, key: Column | None = Non
     return rows.where("line IS NOT NULL").select("doc", "copy", "at", (F.col("n") - F.col("at")).alias("rest"), "line")
 
 
-def suffix_ranks(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, DataFrame]]:
-    """[(size, table)]: for growing sizes (doc, copy, at, rest, rank, new) of suffixes that share `size` lines, or all to their documents' ends, with another.
+def suffix_ranks(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[int], DataFrame]:
+    """Growing sizes, and (doc, copy, at, rest, rank, new, level) of suffixes that share sizes[level] lines, or all to their documents' ends, with another.
 
-    Suffixes of one rank agree. `new` marks those that the level ranked; the others had ended before and keep their rank.
+    Suffixes of one level and rank agree. `new` marks those that the level ranked; the others had ended before and keep their rank.
     """
+    base = scratch_path(docs.sparkSession, "line-ranks")
+
+    def written(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{base}/level={n}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{base}/level={n}")
+
     lines = _lines(docs, id_col, text_col)
     usual = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
     named = _ranked(usual, ["line"]).select("line", F.col("new").alias("rank"))
     # rows of the same id and text are one document, so a line may be left with one place only
-    level = stored(lines.join(named, "line").select(*_PLACE, "rest", "rank", F.lit(True).alias("new")).distinct(), "line-ranks")
-    levels, size = [(1, level)], 1
+    level = written(lines.join(named, "line").select(*_PLACE, "rest", "rank", F.lit(True).alias("new")).distinct(), 0)
+    schema, sizes, size = T.StructType([*level.schema.fields, T.StructField("level", T.IntegerType())]), [1], 1
     while True:
         step = min(size, min_lines - size) if size < min_lines else size
         further = Window.partitionBy("doc", "copy").orderBy("at").rangeBetween(step, step)
         ahead = level.withColumn("next", F.when(F.col("rest") > step, F.first("rank").over(further)).otherwise(-1))
         # a rank below -1 is one that an ended suffix has kept, by level
-        ended = level.where(F.col("rest") < size).withColumns({"rank": F.when(F.col("new"), -2 - F.col("rank") * 64 - len(levels)).otherwise(F.col("rank")), "new": F.lit(False)})
+        ended = level.where(F.col("rest") < size).withColumns({"rank": F.when(F.col("new"), -2 - F.col("rank") * 64 - len(sizes)).otherwise(F.col("rank")), "new": F.lit(False)})
         pairs = ahead.where((F.col("rest") >= size) & F.col("next").isNotNull()).select(*_PLACE, "rest", "rank", "next")
         named = _ranked(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"]).where("n > 1")
         grown = pairs.join(named.select(F.col("rank").alias("_rank"), F.col("next").alias("_next"), F.col("new").alias("_new")), (F.col("rank") == F.col("_rank")) & (F.col("next") == F.col("_next")))
-        level = stored(grown.select(*_PLACE, "rest", F.col("_new").alias("rank"), F.lit(True).alias("new")).unionByName(ended), "line-ranks")
+        level = written(grown.select(*_PLACE, "rest", F.col("_new").alias("rank"), F.lit(True).alias("new")).unionByName(ended), len(sizes))
         if level.where("new").isEmpty():
-            return levels
+            return sizes, docs.sparkSession.read.schema(schema).parquet(base).where(F.col("level") < len(sizes))
         size += step
-        levels.append((size, level))
+        sizes.append(size)
 
 
 def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,34 +87,27 @@ def repeated_runs(docs: DataFrame, *, min_lines: int = 2, id_col: str = "doc_id"
     The source is the first place of the longest interval of doubled length that has an earlier place. A source in the same
     document ends before its copy begins.
     """
-    levels = suffix_ranks(docs, min_lines=min_lines, id_col=id_col, text_col=text_col)
+    sizes, levels = suffix_ranks(docs, min_lines=min_lines, id_col=id_col, text_col=text_col)
     place = F.struct(*_PLACE)
     source = F.col("source")
     inside = F.col("doc").eqNullSafe(source["doc"]) & (F.col("copy") == source["copy"])
-    found = None
-    for n, (size, level) in enumerate(levels):
-        if size < min_lines:
-            continue
-        own = level.where("new")
-        first = own.groupBy("rank").agg(F.min(place).alias("source"))
-        agreed = F.least(F.lit(size), F.col("rest"))
-        later = own.join(first, "rank").where((agreed >= min_lines) & (place > source) & (~inside | (source["at"] + agreed <= F.col("at"))))
-        later = later.select(*_PLACE, "rest", F.struct(F.lit(n).alias("level"), agreed.alias("len"), "source").alias("top"))
-        found = later if found is None else found.unionByName(later)
-    if found is None:
-        return levels[0][1].where("false").select(*_PLACE, F.lit(0).alias("len"), place.alias("source"))
-    runs = stored(found.groupBy(*_PLACE, "rest").agg(F.max("top").alias("top")).select(*_PLACE, "rest", "top.level", "top.len", "top.source"), "line-runs")
+    ranked = levels.where(F.col("new") & (F.col("level") >= sum(size < min_lines for size in sizes)))
+    first = ranked.groupBy("level", "rank").agg(F.min(place).alias("source"))
+    agreed = F.least(F.element_at(F.array(*map(F.lit, sizes)), F.col("level") + 1), F.col("rest"))
+    later = ranked.join(first, ["level", "rank"]).where((agreed >= min_lines) & (place > source) & (~inside | (source["at"] + agreed <= F.col("at"))))
+    later = later.select(*_PLACE, "rest", F.struct("level", agreed.alias("len"), "source").alias("top"))
+    runs = stored(later.groupBy(*_PLACE, "rest").agg(F.max("top").alias("top")).select(*_PLACE, "rest", "top.level", "top.len", "top.source"), "line-runs")
     own = ("doc", "copy", "at", "rest", "len", "source")
     open_, done = None, runs.where("level = 0 OR len = rest").select(*own)
-    for n in reversed(range(len(levels) - 1)):
+    for n in reversed(range(len(sizes) - 1)):
         # further lines on which a run and its source agree, for runs whose own level is above this one
         begun = runs.where((F.col("level") == n + 1) & (F.col("len") < F.col("rest"))).select(*own)
         open_ = begun if open_ is None else open_.unionByName(begun)
-        ranks = levels[n][1].select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("at").alias("_at"), F.col("rest").alias("_rest"), F.col("rank").alias("_rank"))
+        ranks = levels.where(F.col("level") == n).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("at").alias("_at"), F.col("rest").alias("_rest"), F.col("rank").alias("_rank"))
         further = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("at") + F.col("len") == F.col("_at"))
         here = open_.join(ranks, further, "left").select(*own, F.col("_rest").alias("left"), F.col("_rank").alias("mine"))
         same = source["doc"].eqNullSafe(F.col("_doc")) & (source["copy"] == F.col("_copy")) & (source["at"] + F.col("len") == F.col("_at")) & (F.col("mine") == F.col("_rank"))
-        more = F.when(F.col("_rank").isNull(), 0).otherwise(F.least(F.lit(levels[n][0]), F.col("left")))
+        more = F.when(F.col("_rank").isNull(), 0).otherwise(F.least(F.lit(sizes[n]), F.col("left")))
         open_ = stored(here.join(ranks, same, "left").withColumn("len", F.col("len") + more).select(*own), "line-runs")
     runs = done if open_ is None else done.unionByName(open_)
     length = F.when(inside, F.least(F.col("len"), F.col("at") - source["at"])).otherwise(F.col("len"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import lexicons as lx
 from colloquy.functions import similarity
 from colloquy.functions import text as tx
+from colloquy.llm import linededup
 
 
 def plan_of(df):
@@ -66,3 +67,16 @@ def test_characters_in_common_are_not_counted_in_plans(spark):
     out = similarity.with_ratios(df, "r", F.col("a"), F.col("b"), F.array(F.lit(0.5), F.lit(0.5), F.lit(0.5)))
     assert out.first()["r"] == [0.75, 0.0, 0.0]
     assert "array_distinct" not in plan_of(out)
+
+
+def test_sources_of_runs_come_from_one_join_at_every_length(spark, monkeypatch):
+    plans, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, label: plans.append((label, plan_of(df))) or stored(df, label))
+    joins = []
+    for n in (3, 40):
+        run = [f"line {i}" for i in range(n)]
+        table = spark.createDataFrame([(i, "\n".join([*run, f"end {i}"])) for i in range(3)], "doc_id long, text string")
+        assert {r.doc_id: r.text for r in linededup.dedup_lines(table).collect()} == {0: "\n".join([*run, "end 0"]), 1: "end 1", 2: "end 2"}
+        joins.append(next(plan for label, plan in plans if label == "line-runs").count("Join Inner"))
+        plans.clear()
+    assert joins == [1, 1]
